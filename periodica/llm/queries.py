@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from periodica.llm.common import table
+from periodica.llm import langid, quality
+from periodica.llm.common import crc_fold, table
 from periodica.llm.minhash import near_duplicates
 
 
@@ -13,11 +15,25 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit_on(docs.where(crc_fold("doc_id", 4) != 2).select("doc_id", "text", "lang"))
+    return langid.predict(docs, model).select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
     return {
         "op5_minhash_dedup": op5_minhash_dedup,
+        "op6_quality_rules": op6_quality_rules,
+        "op9_language_id": op9_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    docs = "documents"
+    return {"op6_quality_rules": quality.ORACLE.format(docs=docs)}
