@@ -58,7 +58,7 @@ def share(part: Column, whole: Column) -> Column:
 
 #: Thresholds leave room: running prose stays far below each of them.
 RULES = (
-    Rule("symbols", lambda t: count_of(t, "#*$%&|<>") > 0.5 * n_words(t)),
+    Rule("symbols", lambda t: count_of(t, "#*$%&|<>") > 0.25 * n_words(t)),
     Rule("shouting", lambda t: share(count_of(t, "\\p{Lu}"), word_chars(t)) > 0.4),
     Rule("exclamations", lambda t: count_of(t, "!") > 0.5 * n_words(t)),
     Rule("word_length", lambda t: ~share(word_chars(t), n_words(t)).between(1.5, 25.0)),
@@ -147,7 +147,7 @@ m as (select d.doc_id, d.t, len(w)::bigint n_words, length(array_to_string(w, ''
   length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g')) letters from d left join cov using (doc_id) left join ln using (doc_id)),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not (n_symbols > 0.5 * n_words or ups > 0.4 * word_chars or ex > 0.5 * n_words or not (word_chars / n_words between 1.5 and 25)
+  not base_failed and not (n_symbols > 0.25 * n_words or ups > 0.4 * word_chars or ex > 0.5 * n_words or not (word_chars / n_words between 1.5 and 25)
   or n_dup_lines > 0.5 * n_lines or letters < 0.4 * word_chars) kept
 from b
 """

@@ -5,11 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import langid, quality
+from periodica.llm import langid, packing, quality, urlfilter
 from periodica.llm.common import crc_fold, table
 from periodica.llm.minhash import near_duplicates
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urlfilter.train(urlfilter.labelled_urls(spark))
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), model).select("page_id", "host", "path", "rule", "verdict")
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is; the package that holds them is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), size=2048, end_id=0)
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -28,6 +44,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_url_filter": op1_url_filter,
+        "op2_packing": op2_packing,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op9_language_id": op9_language_id,
