@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import langid, packing, quality, urlfilter
+from periodica.llm import bpe, langid, packing, quality, tokenfile, urlfilter
 from periodica.llm.common import crc_fold, table
 from periodica.llm.minhash import near_duplicates
 
@@ -26,6 +26,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), size=2048, end_id=0)
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.roundtrip_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.roundtrip(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), vocabulary=50_257, end_id=0)
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -46,6 +54,8 @@ def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_packing": op2_packing,
+        "op3_bpe": op3_bpe,
+        "op4_token_files": op4_token_files,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op9_language_id": op9_language_id,
