@@ -26,8 +26,8 @@ from periodica.llm.shared_files import new_file, open_file
 from periodica.llm.tokens import Encoder, byte_level_pieces
 
 MAGIC, VERSION = b"PTOK", 1
-HEAD = struct.Struct("<4sHH32s")
-FOOT = struct.Struct("<QQ4s")
+HEAD = "<4sHH32s"
+FOOT = "<QQ4s"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("ids", "<u4")])
 #: The dictionary's size, and the documents that it is trained on at most.
 DICT_BYTES, DICT_DOCS, LEVEL = 64 << 10, 1000, 3
@@ -75,13 +75,13 @@ class Reader:
 
     def __init__(self, folder: str, name: str, codec: Codec):
         self.f, self.codec = open_file(folder, name), codec
-        magic, version, width, digest = HEAD.unpack(self.f.read_at(HEAD.size, 0))
+        magic, version, width, digest = struct.unpack(HEAD, self.f.read_at(struct.calcsize(HEAD), 0))
         if (magic, version, width) != (MAGIC, VERSION, codec.width):
             raise ValueError(f"{name} isn't a token file of this version and id width")
         if digest != codec.hash:
             raise ValueError(f"{name} was written with another dictionary")
         size = self.f.size()
-        at, rows, magic = FOOT.unpack(self.f.read_at(FOOT.size, size - FOOT.size))
+        at, rows, magic = struct.unpack(FOOT, self.f.read_at(struct.calcsize(FOOT), size - struct.calcsize(FOOT)))
         if magic != MAGIC:
             raise ValueError(f"{name} is cut short")
         self.index = np.frombuffer(self.f.read_at(rows * INDEX.itemsize, at), INDEX)
@@ -117,7 +117,7 @@ def _write(folder: str, dictionary: bytes, width: int):
     """Rows come ordered by (slot, doc_id); each slot becomes one file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = HEAD.pack(MAGIC, VERSION, width, hashlib.sha256(dictionary).digest())
+        head = struct.pack(HEAD, MAGIC, VERSION, width, hashlib.sha256(dictionary).digest())
 
         def rows():
             for b in batches:
@@ -129,7 +129,7 @@ def _write(folder: str, dictionary: bytes, width: int):
         it = rows()
         row = next(it, None)
         while row:
-            slot, index, at, total = row[0], [], HEAD.size, 0
+            slot, index, at, total = row[0], [], len(head), 0
             with new_file(folder, f"ids-{slot:06d}") as (out, name):
                 out.write(head)
                 while row and row[0] == slot:
@@ -140,7 +140,7 @@ def _write(folder: str, dictionary: bytes, width: int):
                     total += n
                     row = next(it, None)
                 out.write(np.array(index, INDEX).tobytes())
-                out.write(FOOT.pack(at, len(index), MAGIC))
+                out.write(struct.pack(FOOT, at, len(index), MAGIC))
             yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), pa.array([name]), pa.array([len(index)], pa.int64()), pa.array([total], pa.int64())], names=["slot", "name", "docs", "ids"])
 
     return run
