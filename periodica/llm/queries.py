@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import bpe, langid, packing, quality, tokenfile, urlfilter
+from periodica.llm import bpe, langid, packing, quality, tokenfile, urlfilter, warc
 from periodica.llm.common import crc_fold, table
 from periodica.llm.minhash import near_duplicates
 
@@ -50,6 +50,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.roundtrip(spark, table(spark, sf_dir, "pages"), least_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
@@ -59,6 +64,7 @@ def queries() -> dict:
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op9_language_id": op9_language_id,
+        "op10_warc": op10_warc,
     }
 
 
