@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import bpe, langid, packing, quality, tokenfile, urlfilter, warc
+from periodica.llm import bpe, langid, lm, packing, quality, tokenfile, urlfilter, warc
 from periodica.llm.common import crc_fold, table
 from periodica.llm.minhash import near_duplicates
 
@@ -44,6 +44,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(table(spark, sf_dir, "documents"), crc_fold("doc_id", 7) != 2)
+    return found.select("doc_id", (crc_fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit_on(docs.where(crc_fold("doc_id", 4) != 2).select("doc_id", "text", "lang"))
@@ -63,6 +68,7 @@ def queries() -> dict:
         "op4_token_files": op4_token_files,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_quality_rules": op6_quality_rules,
+        "op7_lm_scoring": op7_lm_scoring,
         "op9_language_id": op9_language_id,
         "op10_warc": op10_warc,
     }
