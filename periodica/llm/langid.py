@@ -263,6 +263,27 @@ def _predict(model: Model, most_words: int = 300_000):
     return run
 
 
+def _determined(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, int] = {}
+        emits = np.empty((0, len(model.langs)), np.float32)
+        for b in batches:
+            keep: list[bool] = []
+            for _, texts in text_batches(iter([b]), most=6_000_000):
+                if len(cache) > 300_000:
+                    cache, emits = {}, emits[:0]
+                langs, _, emits = label(model, texts, cache, emits)
+                keep += [x != UNDETERMINED for x in langs]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def keep_determined(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows, with all their columns, whose text has a determined language: neither null nor without letters."""
+    return docs.mapInArrow(_determined(model), docs.schema)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for each row. Texts that are null or have no letter give `und` with score 0; so does a model without languages."""
     return docs.select("doc_id", "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")

@@ -301,9 +301,9 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     docs needs doc_id (not null) and text; other columns are ignored. Only A-Z are lower-cased; words are split
     at space and U+0009 to U+000D, and one end token follows. Null and empty texts are the end token alone.
     Repeated rows are scored, and counted, each. Without training documents every token has the uniform
-    estimate. An empty table gives an empty result.
+    estimate. Rows without doc_id are left out. An empty table gives an empty result.
     """
-    chunks = write_stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(_chunks, _CHUNKS), "lm-chunks")
+    chunks = write_stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train")).where("doc_id is not null").mapInArrow(_chunks, _CHUNKS), "lm-chunks")
     totals = chunks.agg(F.sum("n_keys").alias("keys"), F.sum("train_tokens").alias("tokens")).first()
     tokens = int(totals.tokens or 0)
     shards = max(1, -(-int(totals.keys or 0) // SHARD_KEYS))

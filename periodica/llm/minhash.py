@@ -187,11 +187,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     docs needs doc_id (unique, not null) and text; other columns are ignored, whatever their names. Texts that
     are null or have no words have an empty set, link with nothing and are kept. class_id is the smallest doc_id
     with the same set. Two documents link when 100 * intersection >= percent * union of their shingle sets.
-    An empty table gives an empty result. Repeated texts are one class; ties go to the smallest doc_id.
+    An empty table gives an empty result. Repeated texts are one class; ties go to the smallest doc_id. Rows without
+    doc_id are left out, and repeated rows give repeated results.
     """
     signer = Signer(bands, rows, bits)
     least = signer.least_agreeing(percent / 100)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id is not null")
     signed = write_stage(docs.mapInArrow(_sign(signer, width), _SIGNED), "minhash-signed")
     classes = signed.where("f1 is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     members = write_stage(signed.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "minhash-members")

@@ -97,9 +97,9 @@ def cascade(rules, text: Column) -> Column:
     return out
 
 
-def base_metrics(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) to doc_id and text."""
-    d = docs.select("doc_id", "text", words(F.col("text")).alias("w"))
+def base_metrics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns of `carry`, text, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)."""
+    d = docs.select(*carry, "text", words(F.col("text")).alias("w"))
     windows = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
     d = d.withColumn("h", windows)
     # only texts with a repeated window are sorted; equal windows then stand together
@@ -108,16 +108,33 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     covered = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
     text = F.coalesce("text", F.lit(""))
     ls = lines(text)
+    # A filter on these columns must stay above this projection: pushed below, it would copy whole arrays into the
+    # functions that run for each of their elements. Spark pushes no filter past an id that depends on the row's place.
+    mark = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
     return d.select(
-        "doc_id", "text",
-        F.size("w").cast("long").alias("n_words"),
+        *carry, "text",
+        mark(F.size("w").cast("long")).alias("n_words"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         count_of(text, "#*$%&|<>").alias("n_symbols"),
         (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("s").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"),
+        mark(F.when(F.col("s").isNull(), F.lit(0)).otherwise(covered).cast("long")).alias("n_repeat_words"),
     )
 
 
+def _judged(m: DataFrame, order: list[Rule]) -> DataFrame:
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    m = m.withColumn("base_failed", base)
+    m = m.withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(order, F.col("text"))))
+    return m.withColumn("kept", F.col("failed_rule").isNull())
+
+
+def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
+    """The rows, with all their columns, that quality_rules keeps; nothing is shuffled."""
+    order = [r for r, _, _ in measured_order(docs, rules)]
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    return _judged(base_metrics(whole, ("row",)), order).where("kept").select("row.*")
+
+
 def quality_rules(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: doc_id, the base values, base_failed, failed_rule (null if none), kept.
 
@@ -127,10 +144,7 @@ def quality_rules(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS)
     order, kept doesn't. An empty table gives an empty result; repeated rows are judged alike.
     """
     order = [r for r, _, _ in measured_order(docs, rules, sample_rows=sample_rows)]
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    m = base_metrics(docs).withColumn("base_failed", base)
-    m = m.withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(order, F.col("text"))))
-    return m.withColumn("kept", F.col("failed_rule").isNull()).drop("text")
+    return _judged(base_metrics(docs), order).drop("text")
 
 
 #: The same values and verdict in SQL for DuckDB, written from the contract; {docs} is the input.

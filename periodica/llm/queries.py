@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import bpe, langid, lm, packing, quality, tokenfile, urlfilter, warc
+from periodica.llm import bpe, langid, lm, packing, quality, tokenfile, urlfilter, vectors, warc
 from periodica.llm.common import crc_fold, table
 from periodica.llm.minhash import near_duplicates
 
@@ -49,6 +49,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit_on(docs.where(crc_fold("doc_id", 4) != 2).select("doc_id", "text", "lang"))
@@ -69,6 +73,7 @@ def queries() -> dict:
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op7_lm_scoring": op7_lm_scoring,
+        "op8_vector_dedup": op8_vector_dedup,
         "op9_language_id": op9_language_id,
         "op10_warc": op10_warc,
     }

@@ -117,7 +117,9 @@ def _write(folder: str, file_bytes: int):
                 ids, refs, digests = (b.column(c).to_pylist() for c in ("page_id", "refers_to", "digest"))
                 urls, html = b.column("url"), b.column("html")
                 for i in range(b.num_rows):
-                    yield ids[i], urls[i].as_py(), (html[i].as_py() or "").encode("utf-8", "surrogatepass"), digests[i], refs[i]
+                    payload = (html[i].as_py() or "").encode("utf-8", "surrogatepass")
+                    digest = digest_of(payload)
+                    yield ids[i], urls[i].as_py(), payload, digest, refs[i] if digest == digests[i] else None
 
         it = rows()
         row = next(it, None)
@@ -145,6 +147,7 @@ def decide(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, digest, refers_to: of records with equal payloads of least_bytes at least, that with the largest page_id is the response."""
     found = write_stage(pages.select("page_id", "html").mapInArrow(_digests, "page_id long, digest string, bytes long"), "warc-digests")
     copies = found.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = found.groupBy("page_id").agg(F.max(F.struct("digest", "bytes")).alias("x")).select("page_id", "x.*")
     return found.join(copies, ["digest", "bytes"], "left").select("page_id", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
 
 
@@ -152,9 +155,11 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_byt
     """Writes archives below folder; returns the captures: key, page_id, file, offset, size.
 
     pages needs page_id (unique, not null), url and html; other columns are ignored. A null html is an empty
-    payload, and a null url an empty one. An empty table writes no archive.
+    payload, and a null url an empty one. Rows without page_id are left out. Repeated rows are written each; of rows
+    with one page_id but several payloads, those that the decision wasn't made for are responses. An empty table
+    writes no archive.
     """
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").where("page_id is not null")
     dealt = pages.join(decide(pages, least_bytes), "page_id").select("page_id", "url", "html", "digest", "refers_to")
     return write_stage(dealt.mapInArrow(_write(folder, file_bytes), _CAPTURES), "warc-captures")
 
