@@ -22,24 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from periodica.llm.common import text_batches
-from periodica.llm.tokens import Grown, byte_level_pieces, ragged_gather
-
-#: Fixed value: the public pattern of this kind of vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-def byte_alphabet() -> list[str]:
-    """The printable character that stands for each byte: itself if it is visible Latin-1, else the next from U+0100 on."""
-    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    out, spare = [], 256
-    for b in range(256):
-        if b in visible:
-            out.append(chr(b))
-        else:
-            out.append(chr(spare))
-            spare += 1
-    return out
-
+from periodica.llm.tokens import BYTE_PATTERN, Grown, Numbered, byte_alphabet, byte_level_pieces, ragged_gather
 
 class Vocabulary:
     """What encoding and decoding need of a tokenizer file: byte symbols, merges as sorted pair keys, token bytes."""
@@ -138,13 +121,15 @@ class PairIndexEncoder:
 
     def __init__(self, v: Vocabulary, most: int = 300_000):
         self.v, self.most = v, most
-        self.cut = regex.compile(PATTERN).findall
+        self.cut = regex.compile(BYTE_PATTERN).findall
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(v.special, key=len, reverse=True)) + ")") if v.special else None
-        self.known: dict[str, int] = {}
+        self.known = Numbered()
         self.flat, self.starts, self.sizes = Grown(np.uint32), Grown(np.int64), Grown(np.int64)
 
     def _learn(self, new: list[str]) -> None:
         """Encodes new pieces: all their distinct pre-tokens in one pass of merge_all."""
+        if not new:
+            return
         tokens: dict[str, int] = {}
         cuts = [self.cut(x) for x in new]
         idx = np.fromiter((tokens.setdefault(t, len(tokens)) for c in cuts for t in c), np.int64)
@@ -168,30 +153,22 @@ class PairIndexEncoder:
             self.known.clear()
             for g in (self.flat, self.starts, self.sizes):
                 g.clear()
-        known, new, idx, counts = self.known, [], [], []
+        known, idx, counts = self.known, [], []
         for t in texts:
             if self.split and any(s in t for s in self.v.special):
                 p = [x for part in self.split.split(t) if part for x in ([part] if part in self.v.special else self._pieces(part))]
             else:
                 p = self._pieces(t)
             counts.append(len(p))
-            try:
-                idx.append(np.fromiter(map(known.__getitem__, p), np.int64, len(p)))
-            except KeyError:
-                for x in p:
-                    if x not in known:
-                        if x in self.v.special:
-                            self._learn(new)
-                            new = []
-                            self.starts.extend(np.array([self.flat.n]))
-                            self.sizes.extend(np.array([1]))
-                            self.flat.extend(np.array([self.v.special[x]], np.uint32))
-                        else:
-                            new.append(x)
-                        known[x] = len(known)
-                idx.append(np.fromiter(map(known.__getitem__, p), np.int64, len(p)))
-        if new:
-            self._learn(new)
+            idx.append(known.numbers(p))
+        new, at = known.take_new(), 0
+        for i in [*(i for i, x in enumerate(new) if x in self.v.special), len(new)]:
+            self._learn(new[at:i])
+            if i < len(new):
+                self.starts.extend(np.array([self.flat.n]))
+                self.sizes.extend(np.array([1]))
+                self.flat.extend(np.array([self.v.special[new[i]]], np.uint32))
+            at = i + 1
         idx = np.concatenate(idx) if idx else np.empty(0, np.int64)
         sizes = self.sizes.data[idx]
         flat = ragged_gather(self.flat.data, self.starts.data[idx], sizes)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from periodica.llm.common import text_batches, write_stage
-from periodica.llm.tokens import Encoder, word_pieces
+from periodica.llm.tokens import encoder_for
 
 SIZE = 2048
 
@@ -111,7 +111,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _cut(path: str, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path, word_pieces)
+        enc = encoder_for(path, "word")
         for ids, texts in text_batches(batches):
             flat, n = enc.encode([t or "" for t in texts])
             ends = np.cumsum(n)
@@ -138,7 +138,7 @@ def _place(places: Places):
 
 def cut_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of at most `size` ids; each document ends with end_id."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(tokenizer, size, end_id), _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(_cut(tokenizer, size, end_id), _PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0, pieces_per_group: int = 50_000) -> DataFrame:
@@ -146,7 +146,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0, pie
 
     docs needs doc_id (unique) and text; other columns are ignored. Null and empty texts are one end id. Pieces of
     equal length are interchangeable: they are ranked by (group, doc_id, piece), where a group is a slice of the
-    hash of doc_id, so that ranking a very common length is spread over many tasks. An empty table gives no rows.
+    hash of doc_id, so that ranking a very common length is spread over many tasks. Rows without doc_id are left out, repeated rows are packed each, and an empty table
+    gives no rows.
     """
     pieces = write_stage(cut_documents(docs, tokenizer, size, end_id), "pack-pieces")
     groups = max(16, pieces.count() // pieces_per_group)

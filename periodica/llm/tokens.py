@@ -9,6 +9,8 @@ Tokenizer.encode(text, add_special_tokens=False).ids.
 from __future__ import annotations
 
 import os
+import unicodedata
+from itertools import chain
 
 import numpy as np
 import regex
@@ -23,6 +25,26 @@ def ragged_gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np
     return flat[out]
 
 
+def byte_alphabet() -> list[str]:
+    """The printable character that stands for each byte: itself if it is visible Latin-1, else the next from U+0100 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, spare = [], 256
+    for b in range(256):
+        if b in visible:
+            out.append(chr(b))
+        else:
+            out.append(chr(spare))
+            spare += 1
+    return out
+
+
+#: The public patterns of the two kinds of vocabulary, as their files give them.
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+#: Below this character, lower-casing and character classes are the same in all libraries.
+COMMON = "\u0250"
+
+
 class Grown:
     """An array that grows at its end."""
 
@@ -41,6 +63,29 @@ class Grown:
         self.n = 0
 
 
+class Numbered(dict):
+    """Numbers keys in the order in which they first come up, and lists those that are new."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+    def clear(self) -> None:
+        super().clear()
+        self.new = []
+
+    def take_new(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+
 def byte_level_pieces(text: str) -> list[str] | None:
     """Pieces of a text for the byte-level pre-tokenizer, each independent of its neighbours; None if white space stands in runs.
 
@@ -53,18 +98,24 @@ def byte_level_pieces(text: str) -> list[str] | None:
     return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
 
 
-_ODD_SPACE = regex.compile("[\x1c-\x1f᠎​﻿\x85]")
+#: Characters on whose being white space libraries differ.
+ODD_SPACE = tuple("\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff")
 
 
 def word_pieces(text: str) -> list[str] | None:
     """Pieces for a pre-tokenizer that never crosses white space and drops it: the words; None where libraries differ on white space."""
-    return None if _ODD_SPACE.search(text) else text.split()
+    return None if any(c in text for c in ODD_SPACE) else text.split()
 
 
 class Encoder:
-    """encode(texts) -> (flat ids, number of ids of each text)."""
+    """encode(texts) -> (flat ids, number of ids of each text).
 
-    def __init__(self, path: str, pieces, most: int = 300_000):
+    A new piece of common letters is normalised and pre-tokenized here, as the tokenizer's file says, and its
+    pre-tokens go to the library's model; every other new piece goes through the whole library. `most` bounds
+    the number of remembered pieces.
+    """
+
+    def __init__(self, path: str, pieces, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
@@ -73,26 +124,56 @@ class Encoder:
         self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.pieces, self.most = pieces, most
-        self.known: dict[str, int] = {}
+        self.lower = pieces is word_pieces
+        self.cut = regex.compile(WORD_PATTERN if self.lower else BYTE_PATTERN).findall
+        self.alphabet = {i: c for i, c in enumerate(byte_alphabet())}
+        self.tokens: dict[str, list[int]] = {}
+        self.known = Numbered()
         self.flat, self.starts, self.sizes = Grown(np.uint32), Grown(np.int64), Grown(np.int64)
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _by_model(self, token: str) -> list[int]:
+        if (ids := self.tokens.get(token)) is None:
+            if len(self.tokens) > self.most // 2:
+                self.tokens.clear()
+            plain = token.isascii() and token.isprintable()  # then only the space has another sign
+            signs = token.replace(" ", self.alphabet[32]) if plain else token.encode().decode("latin-1").translate(self.alphabet)
+            ids = self.tokens[token] = [x.id for x in self.tok.model.tokenize(signs)]
+        return ids
+
     def _learn(self, new: list[str]) -> None:
-        for a in range(0, len(new), 4096):
-            got = self.library(new[a : a + 4096])
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self.starts.extend(self.flat.n + np.cumsum(sizes) - sizes)
-            self.sizes.extend(sizes)
-            self.flat.extend(np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum())))
+        got: list[list[int]] = [[]] * len(new)
+        rest = []
+        for i, x in enumerate(new):
+            if x.isascii() or max(x) < COMMON:
+                if self.lower:
+                    x = x.lower() if x.isascii() else unicodedata.normalize("NFC", x).lower()
+                if x.isalpha() or not self.lower and x[:1] == " " and x[1:].isalpha():
+                    got[i] = self._by_model(x)
+                    continue
+                if self.lower and x[:-1].isalpha() and x[-1] in ",.!?;:":
+                    got[i] = self._by_model(x[:-1]) + self._by_model(x[-1])
+                    continue
+                c = self.cut(x)
+                got[i] = self._by_model(c[0]) if len(c) == 1 else [k for token in c for k in self._by_model(token)]
+            else:
+                rest.append(i)
+        for a in range(0, len(rest), 4096):
+            for i, ids in zip(rest[a : a + 4096], self.library([new[i] for i in rest[a : a + 4096]]), strict=True):
+                got[i] = ids
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        self.starts.extend(self.flat.n + np.cumsum(sizes) - sizes)
+        self.sizes.extend(sizes)
+        self.flat.extend(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.most:
             self.known.clear()
             for g in (self.flat, self.starts, self.sizes):
                 g.clear()
-        known, new, idx, counts, whole = self.known, [], [], [], {}
+        known, idx, counts, whole = self.known, [], [], {}
         for i, t in enumerate(texts):
             p = None if any(s in t for s in self.special) else self.pieces(t)
             if p is None:
@@ -100,15 +181,8 @@ class Encoder:
                 counts.append(0)
                 continue
             counts.append(len(p))
-            try:
-                idx.append(np.fromiter(map(known.__getitem__, p), np.int64, len(p)))
-            except KeyError:
-                for x in p:
-                    if x not in known:
-                        known[x] = len(known)
-                        new.append(x)
-                idx.append(np.fromiter(map(known.__getitem__, p), np.int64, len(p)))
-        self._learn(new)
+            idx.append(known.numbers(p))
+        self._learn(known.take_new())
         idx = np.concatenate(idx) if idx else np.empty(0, np.int64)
         sizes = self.sizes.data[idx]
         flat = ragged_gather(self.flat.data, self.starts.data[idx], sizes)
@@ -119,3 +193,13 @@ class Encoder:
             n = np.array([len(p) for p in parts], np.int64)
             flat = np.concatenate(parts) if parts else flat
         return flat, n
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder_for(path: str, kind: str) -> Encoder:
+    """The encoder of this worker process for a tokenizer file; kind: `byte` or `word`. It lives on between tasks."""
+    if (path, kind) not in _encoders:
+        _encoders[path, kind] = Encoder(path, {"byte": byte_level_pieces, "word": word_pieces}[kind])
+    return _encoders[path, kind]
