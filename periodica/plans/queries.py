@@ -1,5 +1,602 @@
-"""Queries of the geometry engine over the test tables."""
+"""Queries of the geometry engine over the test tables: each callable takes (spark, sf_dir)."""
+
+from __future__ import annotations
+
+import json
+
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from periodica.ir import Ex, call, col, derivative, floor_mod, lift, sql, with_columns
+from periodica.operators import analysis, generate
+from periodica.operators import polygons as P
+from periodica.operators import shapes as S
+from periodica.operators.lattice import Lattice, UnitCell, boundary_points, box_ranges, cartesian_grid, default_softness, fill_fractions, fractional_grid, hard_mask, periodic_sdf, rasterize, soft_mask
+from periodica.sources.cells import scene_types
+
+K, X, Y, ANG = col("k"), col("x"), col("y"), col("ang")
+#: Centre of the figures in the point queries; off the grid of the points, so that no point lies on an outline.
+CENTER = (0.1, -0.2)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pt, x, y in about [-2, 2], k (0 to 49) and ang (degrees), from events."""
+    return table(spark, sf_dir, "events").selectExpr("event_id AS pt", "value - 4D * floor(value / 4D) - 2D + 0.0137D AS x", "(user_id % 97 + 0.41D) / 97D * 4D - 2D AS y", "CAST(event_id % 50 AS DOUBLE) AS k", "CAST(event_id % 360 AS DOUBLE) AS ang")
+
+
+def figures() -> dict[str, S.Shape]:
+    """The twelve figures of the point queries, with parameters by row."""
+    c, a = CENTER, ANG
+    return {
+        "rectangle": S.Rectangle(c, (0.6 + K / 50.0, 0.4 + K / 80.0), a, 0.05),
+        "convex_quad": S.ConvexQuad(c, (0.5 + K / 100.0, 0.1), (-0.1, 0.4 + K / 200.0), 0.2, -0.1, a, 0.05),
+        "trapezoid": S.IsoscelesTrapezoid(c, 1.0 + K / 60.0, 0.6, 0.8, a, 0.1),
+        "ellipse": S.Ellipse(c, (1.7, 0.9 + K / 200.0), a),
+        "egg": S.Egg(c, 1.0, 1.4 + K / 100.0, 0.3, a),
+        "stadium": S.Stadium(c, 1.6 + K / 100.0, 0.5, a),
+        "regular_polygon": S.RegularPolygon(c, 5, 0.6 + K / 100.0, a, 0.07),
+        "triangle": S.Triangle(c, 1.2 + K / 100.0, 60.0, 50.0, a, 0.04),
+        "star": S.Star(c, 5, 1.0 + K / 100.0, 0.45, a, 0.02, 0.03),
+        "cross": S.Cross(c, 1.5 + K / 100.0, 0.4, a, 0.05, 0.1),
+        "tshape": S.TShape(c, 1.5 + K / 100.0, 0.4, a, 0.05, 0.1),
+        "bar": S.Bar(0.1 + K / 100.0, 0.4, "x"),
+    }
+
+
+def rounded(e: str, name: str, digits: int = 6) -> str:
+    """A double rounded, without a negative zero."""
+    return f"round({e}, {digits}) + 0D AS {name}"
+
+
+def _sdf(name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return with_columns(points(spark, sf_dir), {"d": figures()[name].sdf(X, Y)}).selectExpr("pt", rounded("d", "sdf"))
+
+    query.__doc__ = f"Distance of every point to a {name} with parameters by row."
+    return query
+
+
+def bounds_all(spark, sf_dir):
+    """Boxes of the twelve figures, for every point's parameters."""
+    df = points(spark, sf_dir).drop("x", "y")
+    new = {f"{n}_{s}": b for n, f in figures().items() for s, b in zip(("x0", "y0", "x1", "y1"), f.bounds(), strict=True)}
+    df = with_columns(df, new)
+    out = F.explode(F.array(*(F.struct(F.lit(n).alias("shape"), *(F.col(f"{n}_{s}").alias(s) for s in ("x0", "y0", "x1", "y1"))) for n in figures())))
+    return df.select("pt", out.alias("b")).selectExpr("pt", "b.shape", *(rounded(f"b.{s}", s) for s in ("x0", "y0", "x1", "y1")))
+
+
+def min_feature_size(spark, sf_dir):
+    """Narrowest places of the twelve figures, and of a union, for which it is unknown."""
+    df = with_columns(points(spark, sf_dir).drop("x", "y"), {n: f.min_feature_size() for n, f in figures().items()})
+    pairs = F.array(*(F.struct(F.lit(n).alias("shape"), F.col(n).alias("v")) for n in figures()), F.struct(F.lit("union").alias("shape"), F.lit(None).cast("double").alias("v")))
+    return df.select("pt", F.explode(pairs).alias("f")).selectExpr("pt", "f.shape", rounded("f.v", "size"))
+
+
+def error_column(shape: S.Shape) -> str:
+    """SQL for the first message that a shape's parameters earn, NULL for valid ones."""
+    return "CASE " + " ".join(f"WHEN {sql(bad)} THEN '{message}'" for bad, message in shape.checks() if isinstance(bad, Ex)) + " END"
+
+
+def validate_shapes(spark, sf_dir):
+    """First failure of crosses whose parameters come from parts, many of them invalid."""
+    df = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CAST(p_size AS DOUBLE) / 10D - 0.2D AS l", "(p_retailprice - 900D) / 40D - 0.1D AS w", "CAST(p_partkey % 7 AS DOUBLE) / 10D - 0.1D AS ro", "CAST(p_partkey % 11 AS DOUBLE) / 10D - 0.1D AS ri")
+    return df.selectExpr("id", error_column(S.Cross((0, 0), col("l"), col("w"), 0.0, col("ro"), col("ri"))) + " AS error")
+
+
+def project_params(spark, sf_dir):
+    """Cross parameters moved into their valid ranges."""
+    df = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CAST(p_size AS DOUBLE) / 10D - 0.2D AS l", "(p_retailprice - 900D) / 40D - 0.1D AS w", "CAST(p_partkey % 7 AS DOUBLE) / 10D - 0.1D AS ro", "CAST(p_partkey % 11 AS DOUBLE) / 10D - 0.1D AS ri")
+    hl, hw, ro, ri = S.Cross((0, 0), col("l"), col("w"), 0.0, col("ro"), col("ri"))._sizes()
+    return with_columns(df, {"a": 2.0 * hl, "b": 2.0 * hw, "c": ro, "d": ri}).selectExpr("id", rounded("a", "length"), rounded("b", "width"), rounded("c", "outer_radius"), rounded("d", "inner_radius"))
+
+
+# ---- composition, transforms
+
+
+def _pair():
+    return S.Rectangle((0.0, 0.0), (1.2 + K / 50.0, 1.0), ANG), S.Stadium((0.4, 0.2), 1.4, 0.6, 30.0)
+
+
+def _csg(kind, smooth: bool):
+    def query(spark, sf_dir):
+        a, b = _pair()
+        return with_columns(points(spark, sf_dir), {"d": kind(a, b, smooth, 0.3).sdf(X, Y)}).selectExpr("pt", rounded("d", "sdf"))
+
+    query.__doc__ = f"{'Smooth ' if smooth else ''}{kind.__name__.lower()} of two figures at every point."
+    return query
+
+
+def csg_union_many(spark, sf_dir):
+    """Union of many figures as a relation: the least distance of each point to the parts of a small table, by partial aggregation."""
+    parts = table(spark, sf_dir, "supplier").where("s_suppkey <= 20").selectExpr("CAST(s_suppkey % 5 AS DOUBLE) - 2D + 0.03D AS cx", "CAST(s_suppkey % 4 AS DOUBLE) - 1.5D + 0.01D AS cy", "0.2D + CAST(s_suppkey AS DOUBLE) / 100D AS w")
+    met = points(spark, sf_dir).select("pt", "x", "y").crossJoin(F.broadcast(parts))  # 20 parts at most
+    d = with_columns(met, {"d": S.Rectangle((col("cx"), col("cy")), (col("w"), 0.3)).sdf(X, Y)})
+    return d.groupBy("pt").agg(F.min("d").alias("d")).selectExpr("pt", rounded("d", "sdf"))
+
+
+def csg_setop_equivalence(spark, sf_dir):
+    """Points inside each composition, by distances and by set operations over point sets; both must count alike."""
+    a, b = _pair()
+    p = with_columns(points(spark, sf_dir), {"a": a.sdf(X, Y), "b": b.sdf(X, Y), "u": (a | b).sdf(X, Y), "i": (a & b).sdf(X, Y), "m": (a - b).sdf(X, Y)})
+    ins = lambda c: p.where(f"{c} <= 0").select("pt")
+    sets = {"union": ins("a").union(ins("b")).distinct(), "intersection": ins("a").intersect(ins("b")), "difference": ins("a").exceptAll(ins("b"))}
+    out = None
+    for name, c in (("union", "u"), ("intersection", "i"), ("difference", "m")):
+        row = ins(c).agg(F.count("*").alias("by_distance")).crossJoin(sets[name].agg(F.count("*").alias("by_sets"))).withColumn("op", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out.select("op", "by_distance", "by_sets")
+
+
+def _tf(make):
+    def query(spark, sf_dir):
+        return with_columns(points(spark, sf_dir), {"d": make(S.Rectangle((0.2, 0.1), (1.0, 0.5))).sdf(X, Y)}).selectExpr("pt", rounded("d", "sdf"))
+
+    return query
+
+
+def tf_feature_size(spark, sf_dir):
+    """Feature sizes under transforms: kept by moves and turns, multiplied by scalings, unknown for a union."""
+    r = S.Rectangle((0, 0), (1.0 + K / 50.0, 0.5 + K / 40.0))
+    df = with_columns(points(spark, sf_dir), {"moved": r.translate(1.0, 2.0).min_feature_size(), "turned": r.rotate(ANG).min_feature_size(), "scaled": r.scale(0.5 + K / 100.0).min_feature_size()})
+    return df.selectExpr("pt", rounded("moved", "moved"), rounded("turned", "turned"), rounded("scaled", "scaled"), "CAST(NULL AS DOUBLE) AS unite")
+
+
+def tf_bounds(spark, sf_dir):
+    """Boxes through a scaling, a turn and a move, and of an intersection that is empty for some rows."""
+    r = S.Rectangle((0.3, 0.1), (1.0, 0.5 + K / 100.0))
+    chain = r.scale(1.5, (0.1, 0.2)).rotate(ANG, (0.5, 0.0)).translate(K / 10.0, -1.0)
+    cut = S.Rectangle((0, 0), (1.0, 1.0)) & S.Rectangle((K / 25.0, 0.0), (1.0, 1.0))
+    moved = cut.translate(1.0, 1.0)
+    new = {f"c{i}": b for i, b in enumerate(chain.bounds())} | {f"i{i}": b for i, b in enumerate(moved.bounds())}
+    return with_columns(points(spark, sf_dir), new).selectExpr("pt", *(rounded(f"c{i}", f"c{i}") for i in range(4)), *(rounded(f"i{i}", f"i{i}") for i in range(4)))
+
+
+# ---- lattices and grids
+
+
+def _row_lattice():
+    return Lattice((1.0 + K / 50.0, 0.1), (0.3, 1.2 + K / 100.0))
+
+
+def lattice_area(spark, sf_dir):
+    """Cell areas of lattices by row, of a hexagonal and of a rectangular one."""
+    df = with_columns(points(spark, sf_dir), {"a": _row_lattice().area(), "h": Lattice.hexagonal(1.0 + K / 10.0).area(), "f": Lattice.hexagonal(1.0 + K / 10.0, "flat").area(), "r": Lattice.rectangular(1.0 + K, 2.0).area()})
+    return df.selectExpr("pt", rounded("a", "oblique"), rounded("h", "pointy"), rounded("f", "flat"), rounded("r", "rect"))
+
+
+def lattice_roundtrip(spark, sf_dir):
+    """Fractional coordinates and back."""
+    lat = _row_lattice()
+    f1, f2 = lat.to_fractional(X, Y)
+    x, y = lat.to_cartesian(f1, f2)
+    return with_columns(points(spark, sf_dir), {"f1": f1, "f2": f2, "bx": x, "by": y}).selectExpr("pt", rounded("f1", "f1"), rounded("f2", "f2"), rounded("bx", "x"), rounded("by", "y"))
+
+
+def lattice_offset(spark, sf_dir):
+    """Offsets of cells (k mod 7 - 3, k mod 5 - 2)."""
+    ox, oy = _row_lattice().offset(floor_mod(K, 7.0) - 3.0, floor_mod(K, 5.0) - 2.0)
+    return with_columns(points(spark, sf_dir), {"ox": ox, "oy": oy}).selectExpr("pt", rounded("ox", "ox"), rounded("oy", "oy"))
+
+
+def neighbor_offsets(spark, sf_dir):
+    """Cells of rings 0 to 3 around the origin."""
+    return spark.range(4).selectExpr("CAST(id AS INT) AS ring", "explode(sequence(-CAST(id AS INT), CAST(id AS INT))) AS i").selectExpr("ring", "i", "explode(sequence(-ring, ring)) AS j")
+
+
+def grid_fractional(spark, sf_dir):
+    return fractional_grid(spark, 48, 32).selectExpr("iy", "ix", rounded("f1", "f1"), rounded("f2", "f2"))
+
+
+def grid_cartesian(spark, sf_dir):
+    return cartesian_grid(spark, Lattice.hexagonal(1.5), 48, 32).selectExpr("iy", "ix", rounded("x", "x"), rounded("y", "y"))
+
+
+def fold_points(spark, sf_dir):
+    """Points folded into the cell at the origin."""
+    x, y = _row_lattice().fold(X, Y)
+    return with_columns(points(spark, sf_dir), {"fx": x, "fy": y}).selectExpr("pt", rounded("fx", "x"), rounded("fy", "y"))
+
+
+def copy_ranges(spark, sf_dir):
+    """Copies that rectangles by row need, over lattices by row; and those of an endless stripe."""
+    lat = _row_lattice()
+    r = S.Rectangle((K / 5.0, -K / 7.0), (0.5 + K / 30.0, 0.4), ANG)
+    (i0, i1), (j0, j1) = box_ranges(lat, r.bounds())
+    rect = Lattice.rectangular(1.0 + K / 50.0, 2.0)
+    (bi0, bi1), (bj0, bj1) = box_ranges(rect, S.Bar(0.1 + K / 9.0, 0.4, "x").bounds())
+    names = dict(i0=i0, i1=i1, j0=j0, j1=j1, bi0=bi0, bi1=bi1, bj0=bj0, bj1=bj1)
+    return with_columns(points(spark, sf_dir), names).selectExpr("pt", *(f"CAST({n} AS INT) AS {n}" for n in names))
+
+
+def piece_ranges(spark, sf_dir):
+    """United copy ranges of a union of a stripe and a moved, wide rectangle: pieces are measured apart."""
+    cell = UnitCell(Lattice.rectangular(1.0, 1.0), S.Bar(0.0, 0.3, "x") | S.Rectangle((0.0, 0.0), (5.0, 0.2 + K / 50.0)).translate(K / 10.0, 0.5))
+    (i0, i1), (j0, j1) = cell.copy_ranges()
+    return with_columns(points(spark, sf_dir), {"i0": i0, "i1": i1, "j0": j0, "j1": j1}).selectExpr("pt", *(f"CAST({n} AS INT) AS {n}" for n in ("i0", "i1", "j0", "j1")))
+
+
+def rect_cell() -> UnitCell:
+    return UnitCell(Lattice.rectangular(1.3, 1.1), S.Rectangle((0.35, 0.3), (0.7, 0.4), 30.0) | S.Bar(0.9, 0.1, "x"))
+
+
+def hex_cell() -> UnitCell:
+    return UnitCell(Lattice.hexagonal(1.2), S.Rectangle((0.1, 0.2), (0.6, 0.35), 30.0))
+
+
+def periodic_sdf_rect(spark, sf_dir):
+    """Distance to a periodic scene over a rectangular lattice, a rectangle and a stripe."""
+    return periodic_sdf(points(spark, sf_dir), rect_cell(), "x", "y").selectExpr("pt", rounded("sdf", "sdf"))
+
+
+def periodic_sdf_hex(spark, sf_dir):
+    """Distance to turned rectangles over a hexagonal lattice."""
+    return periodic_sdf(points(spark, sf_dir), hex_cell(), "x", "y").selectExpr("pt", rounded("sdf", "sdf"))
+
+
+def periodic_sdf_far(spark, sf_dir):
+    """A wide figure far away, which needs more copies than one expression holds."""
+    cell = UnitCell(Lattice.rectangular(1.0, 1.0), S.Rectangle((10.0, 10.0), (6.5, 0.3), 20.0))
+    return periodic_sdf(points(spark, sf_dir), cell, "x", "y").selectExpr("pt", rounded("sdf", "sdf"))
+
+
+def raster(spark, sf_dir):
+    """A fractional raster, tiled twice by three."""
+    return rasterize(spark, hex_cell(), 40, 30, (2, 3)).selectExpr("iy", "ix", rounded("x", "x"), rounded("y", "y"), rounded("sdf", "sdf"))
+
+
+def raster_cartesian(spark, sf_dir):
+    return rasterize(spark, hex_cell(), 40, 30, (2, 1), "cartesian").selectExpr("iy", "ix", rounded("x", "x"), rounded("y", "y"), rounded("sdf", "sdf"))
+
+
+def mask_hard(spark, sf_dir):
+    return hard_mask(rasterize(spark, hex_cell(), 64, 64)).select("iy", "ix", "mask")
+
+
+def mask_soft(spark, sf_dir):
+    cell = hex_cell()
+    return soft_mask(rasterize(spark, cell, 64, 64), default_softness(cell, 64, 64)).selectExpr("iy", "ix", rounded("mask", "mask"))
+
+
+def boundary(spark, sf_dir):
+    """Boundary points of a 128 by 128 raster."""
+    return boundary_points(spark, hex_cell(), 128).selectExpr(rounded("x", "x"), rounded("y", "y"))
+
+
+def extent(spark, sf_dir):
+    """Extents of repeated cells."""
+    a, b = _row_lattice().extent((3, 2)), Lattice.hexagonal(1.0 + K / 10.0).extent((1, 1))
+    new = {f"{p}{i}": v for p, e in (("o", a), ("h", b)) for i, v in enumerate(e)}
+    return with_columns(points(spark, sf_dir), new).selectExpr("pt", *(rounded(n, n) for n in new))
+
+
+def center_bbox(spark, sf_dir):
+    """Boxes of scenes moved to the middle of their cell."""
+    scene = S.Rectangle((K / 10.0, 1.0), (1.0, 0.5), ANG) | S.Stadium((0.0, 0.0), 1.0, 0.4)
+    moved = UnitCell(_row_lattice(), scene).center_scene("bbox")
+    return with_columns(points(spark, sf_dir), {f"b{i}": b for i, b in enumerate(moved.scene.bounds())}).selectExpr("pt", *(rounded(f"b{i}", f"b{i}") for i in range(4)))
+
+
+# ---- polygons
+
+
+def _corners_df(spark, sf_dir, names):
+    df = points(spark, sf_dir)
+    new = {f"{n}_{i}_{a}": v for n in names for i, p in enumerate(figures()[n].corners()) for a, v in zip("xy", p, strict=True)}
+    return with_columns(df, new)
+
+
+def _ring(name: str, n: int):
+    return F.array(*(F.struct(F.col(f"{name}_{i}_x").alias("x"), F.col(f"{name}_{i}_y").alias("y")) for i in range(n)))
+
+
+SHARP = {"rectangle": 4, "convex_quad": 4, "trapezoid": 4, "regular_polygon": 5, "triangle": 3, "star": 10, "cross": 12, "tshape": 8}
+
+
+def poly_vertices(spark, sf_dir):
+    """Vertices of the sharp outlines, in order."""
+    df = _corners_df(spark, sf_dir, SHARP)
+    rings = F.array(*(F.struct(F.lit(n).alias("shape"), _ring(n, k).alias("ring")) for n, k in SHARP.items()))
+    flat = df.select("pt", F.explode(rings).alias("s")).select("pt", "s.shape", F.posexplode("s.ring").alias("i", "p"))
+    return flat.selectExpr("pt", "shape", "i", rounded("p.x", "x"), rounded("p.y", "y"))
+
+
+def _rings(spark, sf_dir):
+    df = _corners_df(spark, sf_dir, SHARP)
+    return df.select("pt", "x", "y", F.explode(F.array(*(F.struct(F.lit(n).alias("shape"), _ring(n, k).alias("ring")) for n, k in SHARP.items()))).alias("s")).select("pt", "x", "y", "s.shape", "s.ring")
+
+
+def poly_area(spark, sf_dir):
+    """Shoelace areas of the outlines."""
+    return _rings(spark, sf_dir).select("pt", "shape", P.area_column(F.col("ring")).alias("a")).selectExpr("pt", "shape", rounded("a", "area"))
+
+
+def poly_centroid(spark, sf_dir):
+    """Area centroids of moved trapezoids and tees, as expressions over their vertices."""
+    f = figures()
+    new = {}
+    for n in ("trapezoid", "tshape"):
+        v = f[n].corners()
+        a = mx = my = lift(0.0)
+        for (ax, ay), (bx, by) in zip(v, [*v[1:], v[0]], strict=True):
+            c = ax * by - bx * ay
+            a, mx, my = a + c, mx + (ax + bx) * c, my + (ay + by) * c
+        new |= {f"{n}_x": mx / (3.0 * a), f"{n}_y": my / (3.0 * a)}
+    return with_columns(points(spark, sf_dir), new).selectExpr("pt", *(rounded(n, n) for n in new))
+
+
+def poly_transform(spark, sf_dir):
+    """Vertices of a ring moved, and their box."""
+    df = _rings(spark, sf_dir).where("shape = 'star'").withColumn("m", P.moved_column(F.col("ring"), F.col("x"), F.col("y"))).withColumn("b", P.bounds_column(F.col("m")))
+    return df.selectExpr("pt", *(rounded(f"b.{s}", s) for s in ("x0", "y0", "x1", "y1")))
+
+
+def poly_raster(spark, sf_dir):
+    """Even-odd containment of every point in its own outlines."""
+    return _rings(spark, sf_dir).select("pt", "shape", P.contains_column(F.col("ring"), F.col("x"), F.col("y")).alias("inside"))
+
+
+def _box_pairs(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CAST(p_partkey % 10 AS DOUBLE) + 0.137D AS ax", "CAST(p_partkey % 7 AS DOUBLE) + 0.291D AS ay", "1D + CAST(p_size AS DOUBLE) / 25D AS w", "1D + (p_retailprice - 900D) / 100D AS h", "CAST(p_size % 9 AS DOUBLE) AS bx", "CAST(p_partkey % 5 AS DOUBLE) AS bY")
+
+
+def poly_distance(spark, sf_dir):
+    """Distances of two boxes by row; 0 where they touch."""
+    dx = call("greatest", abs(col("ax") - col("bx")) - 0.5 * (col("w") + 1.0), 0.0)
+    dy = call("greatest", abs(col("ay") - col("bY")) - 0.5 * (col("h") + 1.0), 0.0)
+    return with_columns(_box_pairs(spark, sf_dir), {"d": call("sqrt", dx * dx + dy * dy)}).selectExpr("id", rounded("d", "distance"))
+
+
+def poly_boolean_area(spark, sf_dir):
+    """Areas of union, intersection and difference of two boxes by row, through the slab decomposition of regions."""
+
+    def rows(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                one, two = S.Rectangle((r.ax, r.ay), (r.w, r.h)), S.Rectangle((r.bx, r.bY), (1.0, 1.0))
+                out.append((r.id, *(P.shape_region(s).area() for s in (one | two, one & two, one - two))))
+            yield pd.DataFrame(out, columns=["id", "u", "i", "d"])
+
+    return _box_pairs(spark, sf_dir).mapInPandas(rows, "id long, u double, i double, d double").selectExpr("id", rounded("u", "union_area", 9), rounded("i", "intersection_area", 9), rounded("d", "difference_area", 9))
+
+
+# ---- cells, metrics, constraints
+
+
+def part_cells(spark, sf_dir) -> DataFrame:
+    """A turned rectangle in the middle of a hexagonal cell, for each part."""
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS cell_id", "0.5D + CAST(p_size AS DOUBLE) / 25D AS w", "0.4D + (p_retailprice - 900D) / 100D AS h", "CAST(p_partkey % 360 AS DOUBLE) AS ang", "0.1D + CAST(p_partkey % 13 AS DOUBLE) / 10D AS cx", "0.2D + CAST(p_partkey % 11 AS DOUBLE) / 10D AS cy")
+
+
+def part_cell() -> UnitCell:
+    return UnitCell(Lattice.hexagonal(4.0), S.Rectangle((col("cx"), col("cy")), (col("w"), col("h")), ANG))
+
+
+def common_copies(cells: DataFrame, cell: UnitCell) -> list[tuple[int, int]]:
+    """Copies that cover the needs of every row, from the extremes of their ranges."""
+    (i0, i1), (j0, j1) = cell.copy_ranges()
+    r = with_columns(cells, {"i0": i0, "i1": i1, "j0": j0, "j1": j1}).agg(F.min("i0"), F.max("i1"), F.min("j0"), F.max("j1")).first()
+    if r[0] is None:
+        return [(0, 0)]
+    return [(i, j) for i in range(int(r[0]), int(r[1]) + 1) for j in range(int(r[2]), int(r[3]) + 1)]
+
+
+def fill_fraction(spark: SparkSession, sf_dir: str, n: int = 64) -> DataFrame:
+    """Share of an n by n raster inside the periodic scene, for each cell."""
+    cells, cell = part_cells(spark, sf_dir), part_cell()
+    return fill_fractions(cells, cell, common_copies(cells, cell), n).selectExpr("cell_id", rounded("fill_fraction", "fill_fraction"))
+
+
+def shape_nodes(spark, sf_dir) -> DataFrame:
+    """Boxes of cells as rows: five suppliers' cells each hold the parts of their number."""
+    return table(spark, sf_dir, "part").selectExpr("p_partkey % 100 AS cell_id", "p_partkey AS ord", "CAST(p_partkey % 10 AS DOUBLE) * 2.5D + 0.137D AS cx", "CAST(p_partkey DIV 100 % 8 AS DOUBLE) * 2.5D + 0.291D AS cy", "0.5D + CAST(p_size AS DOUBLE) / 40D AS w", "0.5D + (p_retailprice - 900D) / 100D AS h")
+
+
+def leaf_metrics(spark, sf_dir):
+    """Figures of each cell: number, areas and box sizes in order, narrowest place."""
+    n = shape_nodes(spark, sf_dir)
+    ordered = F.array_sort(F.collect_list(F.struct("ord", F.expr("round(w * h, 6)").alias("a"), F.expr("round(w, 6)").alias("w"), F.expr("round(h, 6)").alias("h"))))
+    m = n.groupBy("cell_id").agg(F.count("*").alias("num_shapes"), F.min(F.least("w", "h")).alias("f"), ordered.alias("l"))
+    text = lambda c: F.array_join(F.transform("l", lambda x: F.format_string("%.6f", x[c])), ",")
+    return m.select("cell_id", "num_shapes", F.expr(rounded("f", "min_feature_size")), text("a").alias("shape_areas"), text("w").alias("widths"), text("h").alias("heights"))
+
+
+def box_gaps(spark, sf_dir) -> DataFrame:
+    """Least gap of the boxes of each cell over a 30 by 30 lattice: pairs within a cell and nine shifts, and own images."""
+    n = shape_nodes(spark, sf_dir)
+    a, b = n.select(*(F.col(c).alias(c if c == "cell_id" else f"{c}1") for c in n.columns)), n.select(*(F.col(c).alias(c if c == "cell_id" else f"{c}2") for c in n.columns))
+    pairs = a.join(b, "cell_id").where("ord1 <= ord2")
+    shifts = F.explode(F.array(*(F.struct(F.lit(i * 30.0).alias("sx"), F.lit(j * 30.0).alias("sy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    met = pairs.select("*", shifts.alias("s")).selectExpr("*", "s.sx", "s.sy").where("ord1 < ord2 OR sx <> 0 OR sy <> 0")
+    gap = "sqrt(power(greatest(abs(cx1 - cx2 - sx) - (w1 + w2) / 2D, 0D), 2) + power(greatest(abs(cy1 - cy2 - sy) - (h1 + h2) / 2D, 0D), 2))"
+    return met.groupBy("cell_id").agg(F.min(F.expr(gap)).alias("g"))
+
+
+def min_gap(spark, sf_dir):
+    return box_gaps(spark, sf_dir).selectExpr("cell_id", rounded("g", "min_gap"))
+
+
+def _metrics(spark, sf_dir) -> DataFrame:
+    n = shape_nodes(spark, sf_dir)
+    m = n.groupBy("cell_id").agg(F.count("*").cast("int").alias("num_shapes"), F.min(F.least("w", "h")).alias("min_feature_size"), (F.sum(F.expr("w * h")) / 900.0).alias("fill_fraction"), F.array_sort(F.collect_list(F.struct("ord", "w", "h"))).alias("l"))
+    m = m.withColumn("shape_bbox_sizes", F.transform("l", lambda x: F.struct(x["w"].alias("w"), x["h"].alias("h")))).drop("l")
+    return m.join(box_gaps(spark, sf_dir).withColumnRenamed("g", "min_gap"), "cell_id")
+
+
+def cell_metrics(spark, sf_dir):
+    """Metrics of each cell, bundled."""
+    return _metrics(spark, sf_dir).selectExpr("cell_id", rounded("fill_fraction", "fill_fraction"), "num_shapes", rounded("min_feature_size", "min_feature_size"), rounded("min_gap", "min_gap"))
+
+
+LIMITS = analysis.Constraints(min_fill=0.02, max_fill=0.04, min_num_shapes=18, max_num_shapes=20, min_feature_size=0.55, min_shape_size=0.6, min_gap=0.7)
+
+
+def constraint_check(spark, sf_dir):
+    """All failures of each cell, in order."""
+    return analysis.check(_metrics(spark, sf_dir), LIMITS).select("cell_id", F.array_join("failures", "; ").alias("failures"))
+
+
+def validate_cells(spark, sf_dir):
+    """The first failure of each cell."""
+    return analysis.check(_metrics(spark, sf_dir), LIMITS).select("cell_id", "failure")
+
+
+def _prints(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell_id"), F.col("embedding").alias("fp"))
+
+
+def dup_pairs(spark, sf_dir):
+    """Fingerprints within 0.3 of each other in every entry."""
+    return analysis.duplicate_pairs(_prints(spark, sf_dir), 0.3)
+
+
+def dup_groups(spark, sf_dir):
+    return analysis.duplicate_groups(_prints(spark, sf_dir), 0.3)
+
+
+# ---- generation, files, gradients
+
+
+CONFIG = generate.Config(seed=11, target_count=24, min_num_shapes=1, max_num_shapes=2, allowed_shapes=("Rectangle", "Ellipse", "Stadium", "RegularPolygon", "Triangle"), min_gap=0.02, max_tries_per_cell=20)
+
+
+def generate_cells(spark, sf_dir):
+    """A reproducible batch of random cells."""
+    return generate.generate(spark, CONFIG, Lattice.rectangular(3.0, 3.0)).selectExpr("cell_id", "cell", "attempts", rounded("fill", "fill"))
+
+
+def generate_metrics(spark, sf_dir):
+    """Metrics of generated cells, by polygons."""
+    m = analysis.analyze(generate.generate(spark, CONFIG, Lattice.rectangular(3.0, 3.0)).where("cell IS NOT NULL"))
+    return m.selectExpr("cell_id", rounded("fill_fraction", "fill_fraction"), "num_shapes", rounded("min_gap", "min_gap"))
+
+
+def generator_lattice(spark, sf_dir):
+    """Lattices resized to a length by row: the whole cell, angles kept."""
+    lat = _row_lattice()
+    f = (2.0 + K / 25.0) / call("sqrt", lat.a1[0] * lat.a1[0] + lat.a1[1] * lat.a1[1])
+    new = {"a1x": lat.a1[0] * f, "a1y": lat.a1[1] * f, "a2x": lat.a2[0] * f, "a2y": lat.a2[1] * f}
+    return with_columns(points(spark, sf_dir), new).selectExpr("pt", *(rounded(n, n) for n in new))
+
+
+def _attempts(spark, sf_dir) -> DataFrame:
+    """A log of attempts in the shape of generate's result, from orders."""
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS cell_id", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'x' END AS cell", "CAST(1 + o_orderkey % 4 AS BIGINT) AS attempts", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice / 1000000D END AS fill", "o_orderpriority AS why")
+    return o.withColumn("reasons", F.when(F.col("attempts") > 1, F.create_map("why", F.col("attempts") - 1)).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))))
+
+
+def _flat_report(r: DataFrame) -> DataFrame:
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("failure_reasons")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+    return r.select("requested", "generated", "failed", "total_attempts", text.alias("reasons"), F.round(F.col("parameter_ranges")["fill_fraction"]["lo"], 6).alias("lo"), F.round(F.col("parameter_ranges")["fill_fraction"]["hi"], 6).alias("hi"))
+
+
+def report_rollup(spark, sf_dir):
+    """Report of a log of attempts."""
+    return _flat_report(generate.report(_attempts(spark, sf_dir)))
+
+
+def report_merge(spark, sf_dir):
+    """Reports of three parts of the log, merged: the same as that of the whole."""
+    a = _attempts(spark, sf_dir)
+    parts = [generate.report(a.where(f"cell_id % 3 = {i}"), {"part": i}) for i in range(3)]
+    return _flat_report(generate.merge_reports(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+
+
+def scene_json_scan(spark, sf_dir):
+    """Paths into parsed scenes."""
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey AS cell_id", """CASE WHEN p_partkey % 17 = 0 THEN 'broken' ELSE concat('{"lattice": {"a1": [', p_size, ', 0.5], "a2": [0, 1]}, "scene": {"type": "', CASE WHEN p_partkey % 2 = 0 THEN 'Cross' ELSE 'Star' END, '"}}') END AS cell""")
+    return scene_types(p).selectExpr("cell_id", "type", "a1x")
+
+
+def yaml_roundtrip(spark, sf_dir):
+    """Generated cells written as YAML and parsed again; both forms stand side by side."""
+    from periodica.sources.cells import dump_cells, load_document
+
+    def rows(batches):
+        import pandas as pd
+
+        for b in batches:
+            back = [load_document(dump_cells([UnitCell.from_parametric(json.loads(c))]))[0][0] for c in b.cell]
+            yield pd.DataFrame({"cell_id": b.cell_id, "before": b.cell, "after": [json.dumps(c.to_parametric()) for c in back]})
+
+    cells = generate.generate(spark, CONFIG, Lattice.rectangular(3.0, 3.0)).where("cell IS NOT NULL").select("cell_id", "cell")
+    return cells.mapInPandas(rows, "cell_id long, before string, after string").selectExpr("cell_id", "before = after AS same", "after AS cell")
+
+
+def center_centroid(spark, sf_dir):
+    """Area centroids of generated scenes moved to the middle of their cells: all in (1.5, 1.5)."""
+
+    def rows(batches):
+        import pandas as pd
+
+        for b in batches:
+            found = [P.shape_region(UnitCell.from_parametric(json.loads(c)).center_scene("centroid").scene).centroid() for c in b.cell]
+            yield pd.DataFrame({"cell_id": b.cell_id, "x": [f[0] for f in found], "y": [f[1] for f in found]})
+
+    cells = generate.generate(spark, CONFIG, Lattice.rectangular(3.0, 3.0)).where("cell IS NOT NULL").select("cell_id", "cell")
+    return cells.mapInPandas(rows, "cell_id long, x double, y double").selectExpr("cell_id", rounded("x", "x"), rounded("y", "y"))
+
+
+def cell_polygon_area(spark, sf_dir):
+    """Areas of periodic scenes within their cell: boxes placed anywhere wrap to their own area."""
+
+    def rows(batches):
+        import pandas as pd
+
+        for b in batches:
+            a = [P.cell_region(UnitCell(Lattice.rectangular(4.0, 3.0), S.Rectangle((r.ax, r.ay), (r.w, r.h)))).area() for r in b.itertuples()]
+            yield pd.DataFrame({"id": b.id, "a": a})
+
+    return _box_pairs(spark, sf_dir).where("id <= 200").mapInPandas(rows, "id long, a double").selectExpr("id", rounded("a", "area"))
+
+
+def round_corners_area(spark, sf_dir):
+    """Areas of rounded rectangles: the corners lose (4 - pi) r^2, but for the arcs' segments."""
+
+    def rows(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({"id": b.id, "a": [P.shape_region(S.Rectangle((0, 0), (r.w, r.h), 0.0, 0.2)).area() for r in b.itertuples()]})
+
+    return _box_pairs(spark, sf_dir).where("id <= 200").mapInPandas(rows, "id long, a double").selectExpr("id", rounded("a", "area"))
+
+
+def grad_sdf_rect(spark, sf_dir):
+    """Derivatives of a rectangle's distance by its width, centre and angle."""
+    cx, w = col("cx"), col("w")
+    d = S.Rectangle((cx, -0.2), (w, 0.4 + K / 80.0), ANG, 0.05).sdf(X, Y)
+    df = points(spark, sf_dir).selectExpr("*", "0.1D AS cx", "0.6D + k / 50D AS w")
+    return with_columns(df, {"dw": derivative(d, w), "dcx": derivative(d, cx)}).selectExpr("pt", rounded("dw", "d_sdf_d_width"), rounded("dcx", "d_sdf_d_cx"))
+
+
+def grad_softmask_fill(spark, sf_dir):
+    """Derivative of the mean soft mask of every part's rectangle by its width, over a 16 by 16 raster."""
+    n = 16
+    w = col("w")
+    g = table(spark, sf_dir, "part").selectExpr("p_partkey AS cell_id", "0.5D + CAST(p_size AS DOUBLE) / 50D AS w").selectExpr("*", f"explode(sequence(0, {n * n - 1})) AS node").selectExpr("*", f"(node % {n} + 0.5D) / {n}D * 2D - 1D AS x", f"(node DIV {n} + 0.5D) / {n}D * 2D - 1D AS y")
+    m = 1.0 / (1.0 + call("exp", S.Rectangle((0.013, 0.027), (w, 0.7)).sdf(X, Y) / 0.1))
+    return with_columns(g, {"dm": derivative(m, w)}).groupBy("cell_id").agg(F.avg("dm").alias("g")).selectExpr("cell_id", rounded("g", "d_fill_d_width"))
 
 
 def queries() -> dict:
-    return {}
+    q = {f"sdf_{n}": _sdf(n) for n in figures()}
+    q |= {f"csg_{k.__name__.lower()}": _csg(k, False) for k in (S.Union, S.Intersection, S.Difference)}
+    q |= {f"csg_smooth_{k.__name__.lower()}": _csg(k, True) for k in (S.Union, S.Intersection, S.Difference)}
+    q |= {"tf_translate": _tf(lambda r: r.translate(0.3, -0.4)), "tf_rotate": _tf(lambda r: r.rotate(ANG, (0.2, 0.3))), "tf_scale": _tf(lambda r: r.scale(0.5 + K / 50.0, (0.1, 0.2)))}
+    plain = (
+        bounds_all, min_feature_size, validate_shapes, project_params, csg_union_many, csg_setop_equivalence, tf_feature_size, tf_bounds, lattice_area, lattice_roundtrip, lattice_offset, neighbor_offsets, grid_fractional, grid_cartesian,
+        fold_points, copy_ranges, piece_ranges, periodic_sdf_rect, periodic_sdf_hex, periodic_sdf_far, mask_hard, mask_soft, extent, center_bbox, center_centroid, poly_vertices, poly_area, poly_centroid, poly_transform, poly_raster, poly_distance,
+        poly_boolean_area, cell_polygon_area, round_corners_area, fill_fraction, leaf_metrics, min_gap, cell_metrics, constraint_check, validate_cells, dup_pairs, dup_groups, generate_cells, generate_metrics, generator_lattice, report_rollup, report_merge, scene_json_scan, yaml_roundtrip, grad_sdf_rect, grad_softmask_fill,
+    )
+    q |= {f.__name__: f for f in plain}
+    return q | {"rasterize": raster, "rasterize_cartesian": raster_cartesian, "boundary_points": boundary}
+
+
