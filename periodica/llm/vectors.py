@@ -29,7 +29,9 @@ from periodica.llm.components import connected_components
 from periodica.llm.tokens import ragged_gather
 
 #: Nodes of a block on average; centroids of a label and labels with centroids at most; rows that they are fitted on.
-BLOCK, MOST_CENTROIDS, MOST_LABELS, SAMPLE = 2048, 64, 64, 20_000
+BLOCK, MOST_CENTROIDS, MOST_LABELS, SAMPLE = 2048, 256, 64, 20_000
+#: Vectors of a label for each of its centroids, up to the greatest number of those. A label of twice as many is cut.
+PER_CENTROID = 256
 #: Neighbours of a node, candidates before pruning, pruning slack, entries of a block.
 DEGREE, CANDIDATES, ALPHA, ENTRIES = 24, 64, 1.2, 8
 #: Below the threshold by so much, a node is still expanded.
@@ -222,7 +224,7 @@ def _search(threshold: float, steps: int):
 
 def _fit(reps: DataFrame, sizes: list) -> dict:
     """Centroids of labels that need more than one shard; the largest MOST_LABELS of them, from at most SAMPLE rows each time."""
-    wanted = {(r.label, r.dim): min(MOST_CENTROIDS, -(-r.n // (BLOCK // 2))) for r in sizes if r.n > BLOCK}
+    wanted = {(r.label, r.dim): min(MOST_CENTROIDS, -(-r.n // PER_CENTROID)) for r in sizes}
     models = {}
     if wanted:
         total = sum(r.n for r in sizes)
@@ -237,7 +239,7 @@ def _fit(reps: DataFrame, sizes: list) -> dict:
 
 def link(reps: DataFrame, threshold: float, overlap: int, steps: int) -> DataFrame:
     """(vec_id, links, other): for each node and task, links counted there and the least id that they lead to."""
-    sizes = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).orderBy(F.desc("n")).limit(MOST_LABELS).collect()
+    sizes = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > 2 * PER_CENTROID).orderBy(F.desc("n")).limit(MOST_LABELS).collect()
     shared = write_stage(reps.mapInArrow(_assign(_fit(reps, sizes), overlap), "vec_id long, label string, dim int, unit binary, weight long, shards array<int>"), "vec-shards")
     placed = shared.withColumn("shard", F.explode("shards"))
     key = ["label", "dim", "shard"]
