@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from periodica.llm.common import text_batches
-from periodica.llm.tokens import BYTE_PATTERN, Grown, Numbered, byte_alphabet, byte_level_pieces, ragged_gather
+from periodica.llm.tokens import BYTE_PATTERN, Grown, Numbered, byte_alphabet, byte_level_pieces, keep_first, ragged_gather
 
 class Vocabulary:
     """What encoding and decoding need of a tokenizer file: byte symbols, merges as sorted pair keys, token bytes."""
@@ -150,9 +150,7 @@ class PairIndexEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.most:
-            self.known.clear()
-            for g in (self.flat, self.starts, self.sizes):
-                g.clear()
+            keep_first(self.known, self.flat, self.starts, self.sizes, self.most // 2)
         known, idx, counts = self.known, [], []
         for t in texts:
             if self.split and any(s in t for s in self.v.special):

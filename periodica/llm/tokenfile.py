@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from periodica.llm.common import new_dir, text_batches, write_stage
 from periodica.llm.shared_files import new_file, open_file
-from periodica.llm.tokens import Encoder, byte_level_pieces
+from periodica.llm.tokens import encoder_for
 
 MAGIC, VERSION = b"PTOK", 1
 HEAD = "<4sHH32s"
@@ -43,7 +43,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, width: int, sample_docs: i
     n = docs.count()
     step = max(1, n // sample_docs)
     rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text").limit(sample_docs).collect()
-    enc = Encoder(tokenizer, byte_level_pieces)
+    enc = encoder_for(tokenizer, "byte")
     flat, sizes = enc.encode([r.text or "" for r in rows])
     ends = np.cumsum(sizes)
     samples = [flat[e - s : e].astype(f"<u{width}").tobytes() for e, s in zip(ends, sizes, strict=True) if s]
@@ -59,8 +59,10 @@ class Codec:
     def __init__(self, dictionary: bytes, width: int):
         self.width, self.hash = width, hashlib.sha256(dictionary).digest()
         d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if d:
+            d.precompute_compress(level=LEVEL)  # else each document would digest the dictionary anew
         more = {"dict_data": d} if d else {}
-        self._c = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, write_dict_id=True, **more)
+        self._c = zstandard.ZstdCompressor(level=LEVEL, **more)
         self._d = zstandard.ZstdDecompressor(**more)
 
     def pack(self, ids: np.ndarray) -> bytes:
@@ -103,7 +105,7 @@ class Reader:
 
 def _encode(tokenizer: str, dictionary: bytes, width: int, end_id: int, cuts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, codec = Encoder(tokenizer, byte_level_pieces), Codec(dictionary, width)
+        enc, codec = encoder_for(tokenizer, "byte"), Codec(dictionary, width)
         for ids, texts in text_batches(batches):
             flat, n = enc.encode([t or "" for t in texts])
             ends, slot = np.cumsum(n), np.searchsorted(cuts, np.array(ids, np.int64))
@@ -169,9 +171,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, vocabulary:
 
     Files follow each other by slot, and rows within a file by doc_id. Slots are ranges of doc_id between
     quantiles, so that each file gets about rows_per_file documents. docs needs doc_id (unique, not null) and
-    text; null text is empty, so a document has its end id at least. An empty table writes no file.
+    text; null text is empty, so a document has its end id at least. Rows without doc_id are left out, repeated rows are written each, and an
+    empty table writes no file.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     width = width_of(vocabulary)
     dictionary = train_dictionary(docs, tokenizer, width)
     with new_file(folder, "dictionary-" + hashlib.sha256(dictionary).hexdigest()) as (out, _):
@@ -189,7 +192,7 @@ def read_token_files(manifest: DataFrame, dictionary: bytes, folder: str, vocabu
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document, from the files."""
     before = F.coalesce(F.sum("ids").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = manifest.select("slot", "name", before.cast("long").alias("before"))  # one row for each file
-    dealt = placed.repartition("slot")
+    dealt = placed.repartition(max(1, manifest.count()), "slot")  # a number of its own, so that small rows aren't gathered in one task
     return dealt.select("name", "before").mapInArrow(_read(folder, dictionary, width_of(vocabulary)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

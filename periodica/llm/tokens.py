@@ -9,8 +9,9 @@ Tokenizer.encode(text, add_special_tokens=False).ids.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import regex
@@ -59,8 +60,8 @@ class Grown:
         self.data[self.n : self.n + len(x)] = x
         self.n += len(x)
 
-    def clear(self) -> None:
-        self.n = 0
+    def cut(self, n: int) -> None:
+        self.n = n
 
 
 class Numbered(dict):
@@ -77,15 +78,21 @@ class Numbered(dict):
     def numbers(self, keys: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
 
-    def clear(self) -> None:
-        super().clear()
-        self.new = []
+    def keep_first(self, n: int) -> None:
+        """Forgets all but the first n keys, which are the more frequent ones since they came up early."""
+        first = list(islice(self, n))
+        self.clear()
+        self.update(zip(first, range(n), strict=False))
 
     def take_new(self) -> list[str]:
         new, self.new = self.new, []
         return new
 
 
+#: A comma or full stop that doesn't stand after a letter or number.
+AFTER_OTHER = re.compile(r"[,.](?:(?<=[\W_].)|(?<=^.))").search
+
+
 def byte_level_pieces(text: str) -> list[str] | None:
     """Pieces of a text for the byte-level pre-tokenizer, each independent of its neighbours; None if white space stands in runs.
 
@@ -95,7 +102,10 @@ def byte_level_pieces(text: str) -> list[str] | None:
     if "  " in text or "\n\n" in text or "\x00" in text:
         return None
     # a mark before each cut, then one split; the mark can't be in the text
-    return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
+    marked = text.replace(" ", "\x00 ").replace("\n", "\x00\n")
+    if not AFTER_OTHER(text):  # a comma or stop after a letter or number begins a token of its own
+        marked = marked.replace(",", "\x00,").replace(".", "\x00.")
+    return marked.split("\x00")
 
 
 #: Characters on whose being white space libraries differ.
@@ -107,6 +117,14 @@ def word_pieces(text: str) -> list[str] | None:
     return None if any(c in text for c in ODD_SPACE) else text.split()
 
 
+def keep_first(known: Numbered, flat: Grown, starts: Grown, sizes: Grown, n: int) -> None:
+    """Shortens the memory of pieces to the first n."""
+    known.keep_first(n)
+    flat.cut(int(starts.data[n]))
+    starts.cut(n)
+    sizes.cut(n)
+
+
 class Encoder:
     """encode(texts) -> (flat ids, number of ids of each text).
 
@@ -115,7 +133,7 @@ class Encoder:
     the number of remembered pieces.
     """
 
-    def __init__(self, path: str, pieces, most: int = 800_000):
+    def __init__(self, path: str, pieces, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
@@ -170,9 +188,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.most:
-            self.known.clear()
-            for g in (self.flat, self.starts, self.sizes):
-                g.clear()
+            keep_first(self.known, self.flat, self.starts, self.sizes, self.most // 2)
         known, idx, counts, whole = self.known, [], [], {}
         for i, t in enumerate(texts):
             p = None if any(s in t for s in self.special) else self.pieces(t)
