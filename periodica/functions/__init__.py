@@ -1 +1 @@
-"""Part of the geometry engine."""
+"""SQL functions of the engine."""
