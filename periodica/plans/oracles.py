@@ -302,6 +302,9 @@ select cell_id, {r6('avg(hit::double)', 'fill_fraction')} from d group by 1"""
         "cell_polygon_area": f"with {BOXES} select id, {r6('least(w, 4)*least(h, 3)', 'area')} from b where id <= 200",
         "round_corners_area": f"with {BOXES} select id, {r6('w*h - 0.04*(4-64*sin(pi()/32)/2)', 'area')} from b where id <= 200",
         "fill_fraction": fill,
+        "leaf_count": """with recursive s as (select p_partkey%100 cell_id, p_partkey//100+1 node_id, (p_partkey//100+1)//2 parent_id, case when (p_partkey//100+1)*2 > 20 then 'Rectangle' when (p_partkey%100 + p_partkey//100+1)%5 = 0 then 'Difference'
+ when (p_partkey%100 + p_partkey//100+1)%7 = 0 then 'Translate' else 'Union' end as type from part), w as (select cell_id, node_id, type from s where node_id = 1 union all select s.cell_id, s.node_id, s.type from w join s on s.cell_id = w.cell_id and s.parent_id = w.node_id where w.type in ('Union', 'Translate'))
+ select cell_id, count(*) leaves from w where type not in ('Union', 'Translate') group by 1""",
         "leaf_metrics": f"with {NODES} select cell_id, count(*) num_shapes, {r6('min(least(w, h))', 'min_feature_size')}, string_agg(printf('%.6f', round(w*h, 6)), ',' order by ord) shape_areas, string_agg(printf('%.6f', round(w, 6)), ',' order by ord) widths, string_agg(printf('%.6f', round(h, 6)), ',' order by ord) heights from n group by 1",
         "min_gap": f"with {GAPS} select cell_id, {r6('g', 'min_gap')} from g",
         "cell_metrics": f"with {METRICS} select cell_id, {r6('fill', 'fill_fraction')}, num_shapes, {r6('f', 'min_feature_size')}, {r6('gap', 'min_gap')} from m",

@@ -408,6 +408,22 @@ def leaf_metrics(spark, sf_dir):
     return m.select("cell_id", "num_shapes", F.expr(rounded("f", "min_feature_size")), text("a").alias("shape_areas"), text("w").alias("widths"), text("h").alias("heights"))
 
 
+def scene_nodes(spark, sf_dir) -> DataFrame:
+    """Scene trees as rows, one for each cell: node 1 is the root, and the children of node n are 2n and 2n + 1."""
+    return table(spark, sf_dir, "part").selectExpr("p_partkey % 100 AS cell_id", "CAST(p_partkey DIV 100 + 1 AS INT) AS node_id").selectExpr("*", "node_id DIV 2 AS parent_id", "CASE WHEN node_id * 2 > 20 THEN 'Rectangle' WHEN (cell_id + node_id) % 5 = 0 THEN 'Difference' WHEN (cell_id + node_id) % 7 = 0 THEN 'Translate' ELSE 'Union' END AS type")
+
+
+def leaf_count(spark, sf_dir):
+    """Figures of each scene tree: a walk from the root through unions and transforms; differences stay whole."""
+    scene_nodes(spark, sf_dir).createOrReplaceTempView("scene_nodes")
+    return spark.sql("""
+        WITH RECURSIVE walk(cell_id, node_id, type) AS (
+          SELECT cell_id, node_id, type FROM scene_nodes WHERE node_id = 1
+          UNION ALL
+          SELECT n.cell_id, n.node_id, n.type FROM walk w JOIN scene_nodes n ON n.cell_id = w.cell_id AND n.parent_id = w.node_id WHERE w.type IN ('Union', 'Translate'))
+        SELECT cell_id, count(*) AS leaves FROM walk WHERE type NOT IN ('Union', 'Translate') GROUP BY cell_id""")
+
+
 def box_gaps(spark, sf_dir) -> DataFrame:
     """Least gap of the boxes of each cell over a 30 by 30 lattice: pairs within a cell and nine shifts, and own images."""
     n = shape_nodes(spark, sf_dir)
@@ -594,7 +610,7 @@ def queries() -> dict:
     plain = (
         bounds_all, min_feature_size, validate_shapes, project_params, csg_union_many, csg_setop_equivalence, tf_feature_size, tf_bounds, lattice_area, lattice_roundtrip, lattice_offset, neighbor_offsets, grid_fractional, grid_cartesian,
         fold_points, copy_ranges, piece_ranges, periodic_sdf_rect, periodic_sdf_hex, periodic_sdf_far, mask_hard, mask_soft, extent, center_bbox, center_centroid, poly_vertices, poly_area, poly_centroid, poly_transform, poly_raster, poly_distance,
-        poly_boolean_area, cell_polygon_area, round_corners_area, fill_fraction, leaf_metrics, min_gap, cell_metrics, constraint_check, validate_cells, dup_pairs, dup_groups, generate_cells, generate_metrics, generator_lattice, report_rollup, report_merge, scene_json_scan, yaml_roundtrip, grad_sdf_rect, grad_softmask_fill,
+        poly_boolean_area, cell_polygon_area, round_corners_area, fill_fraction, leaf_count, leaf_metrics, min_gap, cell_metrics, constraint_check, validate_cells, dup_pairs, dup_groups, generate_cells, generate_metrics, generator_lattice, report_rollup, report_merge, scene_json_scan, yaml_roundtrip, grad_sdf_rect, grad_softmask_fill,
     )
     q |= {f.__name__: f for f in plain}
     return q | {"rasterize": raster, "rasterize_cartesian": raster_cartesian, "boundary_points": boundary}
