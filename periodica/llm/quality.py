@@ -22,16 +22,19 @@ SAMPLE_ROWS = 1000
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: from the text column to a boolean that is never null for a text."""
+    """rejects: from the columns of base_metrics, by name, to a boolean that is never null for a text."""
 
     name: str
-    rejects: Callable[[Column], Column]
+    rejects: Callable[[dict[str, Column]], Column]
+
+
+#: What a rule may read: counts that are there for every document anyway, and the text.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
 
 
 def words(text: Column) -> Column:
     """The words of a text; an empty array without any."""
-    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(F.coalesce(trimmed, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
 
 
 def count_of(text: Column, char_class: str) -> Column:
@@ -39,14 +42,6 @@ def count_of(text: Column, char_class: str) -> Column:
     return F.char_length(F.regexp_replace(text, f"[^{char_class}]+", "")).cast("long")
 
 
-def word_chars(text: Column) -> Column:
-    return F.char_length(F.regexp_replace(text, f"[{SPACE}]+", "")).cast("long")
-
-
-def n_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+")).cast("long")
-
-
 def lines(text: Column) -> Column:
     """The lines that hold a word."""
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
@@ -58,12 +53,12 @@ def share(part: Column, whole: Column) -> Column:
 
 #: Thresholds leave room: running prose stays far below each of them.
 RULES = (
-    Rule("symbols", lambda t: count_of(t, "#*$%&|<>") > 0.25 * n_words(t)),
-    Rule("shouting", lambda t: share(count_of(t, "\\p{Lu}"), word_chars(t)) > 0.4),
-    Rule("exclamations", lambda t: count_of(t, "!") > 0.5 * n_words(t)),
-    Rule("word_length", lambda t: ~share(word_chars(t), n_words(t)).between(1.5, 25.0)),
-    Rule("copied_lines", lambda t: share(F.size(lines(t)) - F.size(F.array_distinct(lines(t))), F.size(lines(t))) > 0.5),
-    Rule("letters", lambda t: share(count_of(t, "\\p{L}"), word_chars(t)) < 0.4),
+    Rule("symbols", lambda m: m["n_symbols"] > 0.25 * m["n_words"]),
+    Rule("shouting", lambda m: share(count_of(m["text"], "\\p{Lu}"), m["word_chars"]) > 0.4),
+    Rule("exclamations", lambda m: count_of(m["text"], "!") > 0.5 * m["n_words"]),
+    Rule("word_length", lambda m: ~share(m["word_chars"], m["n_words"]).between(1.5, 25.0)),
+    Rule("copied_lines", lambda m: share(m["n_dup_lines"], m["n_lines"]) > 0.5),
+    Rule("letters", lambda m: share(count_of(m["text"], "\\p{L}"), m["word_chars"]) < 0.4),
 )
 
 
@@ -76,11 +71,11 @@ def measured_order(docs: DataFrame, rules=RULES, key: str = "doc_id", sample_row
     if not n:
         return [(r, 0.0, 0.0) for r in rules]
     step = max(1, n // sample_rows)
-    sample = docs.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0).select(F.col("text").alias("t")).where("t is not null").limit(2 * sample_rows)
-    local = write_stage(sample, "rule-sample")
+    sample = docs.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0).select(F.col(key).alias("doc_id"), "text").where("text is not null").limit(2 * sample_rows)
+    local = write_stage(base_metrics(sample), "rule-sample")
     found = []
     for r in rules:
-        query = local.agg(F.avg(r.rejects(F.col("t")).cast("double")).alias("s"))
+        query = local.agg(F.avg(r.rejects(_columns()).cast("double")).alias("s"))
         query.first()  # compiled once before it is timed
         began = time.perf_counter()
         selectivity = query.first().s
@@ -89,25 +84,28 @@ def measured_order(docs: DataFrame, rules=RULES, key: str = "doc_id", sample_row
     return sorted(found, key=lambda x: -x[2] / max(x[1], 1e-6))
 
 
-def cascade(rules, text: Column) -> Column:
-    """Name of the first rule, in the given order, that rejects the text; null if none does. Later rules aren't evaluated then."""
+def _columns() -> dict[str, Column]:
+    return {c: F.col(c) for c in ("text", *BASE)}
+
+
+def cascade(rules, columns: dict[str, Column]) -> Column:
+    """Name of the first rule, in the given order, that rejects the document; null if none does. Later rules aren't evaluated then."""
     out = F.lit(None).cast("string")
     for r in reversed(list(rules)):
-        out = F.when(r.rejects(text), F.lit(r.name)).otherwise(out)
+        out = F.when(r.rejects(columns), F.lit(r.name)).otherwise(out)
     return out
 
 
 def base_metrics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns of `carry`, text, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)."""
+    """Columns of `carry`, text, and n_words, word_chars, n_symbols, n_dup_lines, n_lines (those with a word), n_repeat_words (long)."""
     d = docs.select(*carry, "text", words(F.col("text")).alias("w"))
     windows = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    d = d.withColumn("h", windows)
+    d = d.withColumn("h", windows).withColumn("ls", lines(F.coalesce("text", F.lit(""))))
     # only texts with a repeated window are sorted; equal windows then stand together
     d = d.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.array_sort(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     twice = F.filter("s", lambda x, k: (F.get("s", k - 1)["h"] == x["h"]) | F.coalesce(F.get("s", k + 1)["h"] == x["h"], F.lit(False)))
     covered = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
     text = F.coalesce("text", F.lit(""))
-    ls = lines(text)
     # A filter on these columns must stay above this projection: pushed below, it would copy whole arrays into the
     # functions that run for each of their elements. Spark pushes no filter past an id that depends on the row's place.
     mark = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
@@ -116,7 +114,8 @@ def base_metrics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataF
         mark(F.size("w").cast("long")).alias("n_words"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         count_of(text, "#*$%&|<>").alias("n_symbols"),
-        (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
+        (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
+        F.size("ls").cast("long").alias("n_lines"),
         mark(F.when(F.col("s").isNull(), F.lit(0)).otherwise(covered).cast("long")).alias("n_repeat_words"),
     )
 
@@ -124,7 +123,7 @@ def base_metrics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataF
 def _judged(m: DataFrame, order: list[Rule]) -> DataFrame:
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     m = m.withColumn("base_failed", base)
-    m = m.withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(order, F.col("text"))))
+    m = m.withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(order, _columns())))
     return m.withColumn("kept", F.col("failed_rule").isNull())
 
 
@@ -144,7 +143,7 @@ def quality_rules(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS)
     order, kept doesn't. An empty table gives an empty result; repeated rows are judged alike.
     """
     order = [r for r, _, _ in measured_order(docs, rules, sample_rows=sample_rows)]
-    return _judged(base_metrics(docs), order).drop("text")
+    return _judged(base_metrics(docs), order).drop("text", "n_lines")
 
 
 #: The same values and verdict in SQL for DuckDB, written from the contract; {docs} is the input.
