@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -81,6 +82,27 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def release_memory() -> None:
+    """Gives a Python worker's freed memory back to the system; workers live on between tasks of different operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
+def tidy(run):
+    """Wraps a function over batches so that it releases memory when it ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], key: str = "doc_id", text: str = "text", most: int = 4_000_000) -> Iterator[tuple[list, list]]:
     """(keys, texts) in pieces of about `most` characters, so that a worker's memory doesn't follow the batch size."""
     for batch in batches:

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import text_batches
+from periodica.llm.common import text_batches, tidy
 
 #: Bounds of the training sample: documents of each language, languages, and words used of all of them.
 DOCS_PER_LANG, MOST_LANGS, MOST_WORDS = 150, 64, 200_000
@@ -268,22 +268,22 @@ def _determined(model: Model):
         cache: dict[str, int] = {}
         emits = np.empty((0, len(model.langs)), np.float32)
         for b in batches:
-            keep: list[bool] = []
-            for _, texts in text_batches(iter([b]), most=6_000_000):
-                if len(cache) > 300_000:
+            at = 0
+            for _, texts in text_batches(iter([b]), most=4_000_000):
+                if len(cache) > 200_000:
                     cache, emits = {}, emits[:0]
                 langs, _, emits = label(model, texts, cache, emits)
-                keep += [x != UNDETERMINED for x in langs]
-            yield b.filter(pa.array(keep, pa.bool_()))
+                yield b.slice(at, len(texts)).filter(pa.array([x != UNDETERMINED for x in langs], pa.bool_()))
+                at += len(texts)
 
     return run
 
 
 def keep_determined(docs: DataFrame, model: Model) -> DataFrame:
     """The rows, with all their columns, whose text has a determined language: neither null nor without letters."""
-    return docs.mapInArrow(_determined(model), docs.schema)
+    return docs.mapInArrow(tidy(_determined(model)), docs.schema)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for each row. Texts that are null or have no letter give `und` with score 0; so does a model without languages."""
-    return docs.select("doc_id", "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_predict(model)), "doc_id long, lang_pred string, score double")

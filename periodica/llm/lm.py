@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import drop_stage, text_batches, write_stage
+from periodica.llm.common import drop_stage, text_batches, tidy, write_stage
 from periodica.llm.shingles import mix
 
 #: Characters of text in a chunk, and keys that a shard gets from all chunks, at most on average.
@@ -303,11 +303,11 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     Repeated rows are scored, and counted, each. Without training documents every token has the uniform
     estimate. Rows without doc_id are left out. An empty table gives an empty result.
     """
-    chunks = write_stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train")).where("doc_id is not null").mapInArrow(_chunks, _CHUNKS), "lm-chunks")
+    chunks = write_stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train")).where("doc_id is not null").mapInArrow(tidy(_chunks), _CHUNKS), "lm-chunks")
     totals = chunks.agg(F.sum("n_keys").alias("keys"), F.sum("train_tokens").alias("tokens")).first()
     tokens = int(totals.tokens or 0)
     shards = max(1, -(-int(totals.keys or 0) // SHARD_KEYS))
-    asked = chunks.select("chunk", "doc_ids", "lengths", "train", "words", "tokens").mapInArrow(_ask(shards), _ASKED)
+    asked = chunks.select("chunk", "doc_ids", "lengths", "train", "words", "tokens").mapInArrow(tidy(_ask(shards)), _ASKED)
     answers = write_stage(asked.groupBy("shard").applyInArrow(_answer, _ANSWERS), "lm-counts")
     about = answers.where("chunk = -1").agg(F.sum("vocabulary").alias("v"), F.sum("starts").alias("s")).first()
     vocabulary, starts = int(about.v or 0), int(about.s or 0)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import drop_stage, text_batches, write_stage
+from periodica.llm.common import drop_stage, text_batches, tidy, write_stage
 from periodica.llm.components import connected_components
 from periodica.llm.shingles import WordHasher, jaccard_at_least, mix, shingle_set
 
@@ -146,7 +146,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     d = docs.select("doc_id", "text")
     with_b = pairs.join(d.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
     both = with_b.join(d.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(width, percent), "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(tidy(_confirmed(width, percent)), "a long, b long")
 
 
 def _long_signatures(signer: Signer, width: int):
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     signer = Signer(bands, rows, bits)
     least = signer.least_agreeing(percent / 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id is not null")
-    signed = write_stage(docs.mapInArrow(_sign(signer, width), _SIGNED), "minhash-signed")
+    signed = write_stage(docs.mapInArrow(tidy(_sign(signer, width)), _SIGNED), "minhash-signed")
     classes = signed.where("f1 is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     members = write_stage(signed.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "minhash-members")
     reps = members.where("doc_id = rep and n_shingles > 0").select("rep")
