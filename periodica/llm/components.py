@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from periodica.llm.common import drop_stage, write_stage
 
 
-def _with_min(both: DataFrame, keep_self: bool) -> DataFrame:
+def _with_min(both: DataFrame) -> DataFrame:
     """both: (u, v) neighbours of u. Adds m, the least of u and its neighbours."""
     least = both.groupBy("u").agg(F.min("v").alias("m0")).select(F.col("u").alias("k"), F.least("u", "m0").alias("m"))
     return both.join(least, both.u == least.k).drop("k")
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     for _ in range(max_rounds):
         # large star: every larger neighbour of u is joined to the least of u's neighbourhood
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_min(both, False).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_min(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: every smaller neighbour of u, and u, is joined to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         j = large.join(least, large.u == least.k)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from periodica.llm import bpe, langid, lm, packing, quality, tokenfile, urlfilter, vectors, warc
 from periodica.llm.common import crc_fold, table
 from periodica.llm.minhash import near_duplicates
+from periodica.llm.oracles import oracle_sql
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,4 @@ def queries() -> dict:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    docs = "documents"
-    return {"op6_quality_rules": quality.ORACLE.format(docs=docs)}
+__all__ = ["oracle_sql", "queries"]
