@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from periodica.ir import col, evaluate
 from periodica.operators import shapes as S
 from periodica.operators.components import connected_components
-from periodica.operators.lattice import UnitCell, fill_fraction
+from periodica.operators.lattice import UnitCell, fill_fraction, spread
 from periodica.operators.polygons import Region, shape_region
 
 FILL_SAMPLES, FINGERPRINT_SAMPLES = 64, 32
@@ -72,7 +72,7 @@ def _metrics_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def analyze(cells: DataFrame) -> DataFrame:
     """Metrics of each row of (cell_id, cell), the cell in its JSON form."""
-    return cells.select("cell_id", "cell").mapInPandas(_metrics_rows, METRICS_SCHEMA)
+    return spread(cells.select("cell_id", "cell"), "cell_id").mapInPandas(_metrics_rows, METRICS_SCHEMA)
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,7 @@ from periodica.ir import Ex, call, col, derivative, floor_mod, lift, sql, with_c
 from periodica.operators import analysis, generate
 from periodica.operators import polygons as P
 from periodica.operators import shapes as S
-from periodica.operators.lattice import Lattice, UnitCell, boundary_points, box_ranges, cartesian_grid, default_softness, fill_fractions, fractional_grid, hard_mask, periodic_sdf, rasterize, soft_mask
+from periodica.operators.lattice import Lattice, UnitCell, boundary_points, box_ranges, cartesian_grid, default_softness, fill_fractions, fractional_grid, hard_mask, periodic_sdf, rasterize, soft_mask, spread
 from periodica.sources.cells import scene_types
 
 K, X, Y, ANG = col("k"), col("x"), col("y"), col("ang")
@@ -364,7 +364,7 @@ def poly_boolean_area(spark, sf_dir):
                 out.append((r.id, *(P.shape_region(s).area() for s in (one | two, one & two, one - two))))
             yield pd.DataFrame(out, columns=["id", "u", "i", "d"])
 
-    return _box_pairs(spark, sf_dir).mapInPandas(rows, "id long, u double, i double, d double").selectExpr("id", rounded("u", "union_area", 9), rounded("i", "intersection_area", 9), rounded("d", "difference_area", 9))
+    return spread(_box_pairs(spark, sf_dir), "id").mapInPandas(rows, "id long, u double, i double, d double").selectExpr("id", rounded("u", "union_area", 9), rounded("i", "intersection_area", 9), rounded("d", "difference_area", 9))
 
 
 # ---- cells, metrics, constraints
