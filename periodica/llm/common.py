@@ -6,8 +6,9 @@ import atexit
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Slots of the filter that likely_in builds, at least and at most; each is a bit of a constant in the plan, which
+#: the driver keeps in many copies, so it must stay small.
+FEWEST_SLOTS, MOST_SLOTS = 1 << 12, 1 << 19
+
+
+def likely_in(ids: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A condition that holds for every id in the table, and for few others while the table is small.
+
+    A hashed bitmap of bounded size, whatever the number of ids, becomes a constant of the plan: rows that a join
+    would drop anyway needn't be shuffled. With many ids the bitmap fills up and lets all rows through, which
+    changes the work and never the result. Only the bitmap reaches the driver.
+    """
+    n = ids.count()
+    slots = min(MOST_SLOTS, max(FEWEST_SLOTS, 1 << (4 * n).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(slots))
+    place = slot(F.col(column)) + 1  # bitmap buckets count from 1
+    parts = ids.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+    mask = np.zeros(max(slots, 32_768), np.uint8)
+    for r in parts:
+        bits = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
+        mask[(r.b - 1) * len(bits) :][: len(bits)] = bits
+    constant = F.lit(bytearray(np.packbits(mask[:slots], bitorder="little").tobytes()))
+
+    def holds(c: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(constant, (F.shiftright(slot(c), 3) + 1).cast("int"), F.lit(1))), 16, 10)
+        return F.getbit(byte.cast("int"), (slot(c) % 8).cast("int")) == 1
+
+    return holds
+
+
 def crc_fold(key: str, modulus: int) -> Column:
     """crc32 of the key written as text, modulo; null keys count as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus

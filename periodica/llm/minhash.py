@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import drop_stage, text_batches, tidy, write_stage
+from periodica.llm.common import drop_stage, likely_in, text_batches, tidy, write_stage
 from periodica.llm.components import connected_components
 from periodica.llm.shingles import WordHasher, jaccard_at_least, mix, shingle_set
 
@@ -142,8 +142,9 @@ def _confirmed(width: int, percent: int):
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold; texts are fetched for these pairs only."""
-    d = docs.select("doc_id", "text")
+    """Pairs (a, b) whose full sets reach the threshold; texts are fetched, and shuffled, for these pairs only, but for few."""
+    wanted = likely_in(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id")
+    d = docs.select("doc_id", "text").where(wanted(F.col("doc_id")))
     with_b = pairs.join(d.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
     both = with_b.join(d.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(tidy(_confirmed(width, percent)), "a long, b long")
@@ -215,7 +216,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     left = write_stage(placed.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")), "minhash-mixed")
     longer = Signer(*LONG)
     again = left.select("rep").distinct()
-    longs = docs.join(again, docs.doc_id == again.rep, "left_semi").mapInArrow(_long_signatures(longer, width), "rep long, long_sig binary")
+    longs = docs.where(likely_in(again, "rep")(F.col("doc_id"))).join(again, docs.doc_id == again.rep, "left_semi").mapInArrow(_long_signatures(longer, width), "rep long, long_sig binary")
     longs = write_stage(longs.join(reps.select("rep", "bands"), "rep"), "minhash-long")
     # a block meets itself (side 1), those after it (side 0) and those before it (side 2)
     dealt = left.join(longs, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from periodica.llm import bpe, langid, lm, minhash, packing, quality, tokenfile, urlfilter, vectors, warc
-from periodica.llm.common import crc_fold
+from periodica.llm.common import crc_fold, likely_in
 from periodica.llm.components import connected_components
 from periodica.llm.shingles import WordHasher, jaccard_at_least, shingle_set
 from periodica.llm.tokens import Encoder, byte_level_pieces, word_pieces
@@ -62,6 +62,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 100, 20_000, 600_000])
+def test_likely_in_misses_none(spark, n):
+    ids = spark.range(n).selectExpr("id * 7 + 3 AS id")
+    inside = likely_in(ids, "id")
+    assert ids.where(~inside(F.col("id"))).count() == 0
+    if n <= 20_000:  # beyond its bound the bitmap fills up
+        assert spark.range(20_000).selectExpr("id * 7 + 5 AS id").where(inside(F.col("id"))).count() < 5000
+
+
 def brute_near(texts, width, percent):
     h = WordHasher()
     sets = [shingle_set(t, h, width) for t in texts]
