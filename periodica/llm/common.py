@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -114,7 +116,13 @@ def ascii_lower(col: Column) -> Column:
 
 
 def release_memory() -> None:
-    """Gives a Python worker's freed memory back to the system; workers live on between tasks of different operators."""
+    """Gives a Python worker's memory back to the system; workers live on between tasks of different operators.
+
+    The tables of pieces that tokenizing tasks hand on to each other go too, since another operator runs now.
+    """
+    if (tokens := sys.modules.get("periodica.llm.tokens")) is not None:
+        tokens.forget_encoders()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -123,9 +131,10 @@ def release_memory() -> None:
 
 
 def tidy(run):
-    """Wraps a function over batches so that it releases memory when it ends."""
+    """Wraps a function over batches so that it releases memory before it starts and when it ends."""
 
     def wrapped(batches):
+        release_memory()
         try:
             yield from run(batches)
         finally:

@@ -269,7 +269,7 @@ def _determined(model: Model):
         emits = np.empty((0, len(model.langs)), np.float32)
         for b in batches:
             at = 0
-            for _, texts in text_batches(iter([b]), most=4_000_000):
+            for _, texts in text_batches(iter([b]), most=3_000_000):
                 if len(cache) > 200_000:
                     cache, emits = {}, emits[:0]
                 langs, _, emits = label(model, texts, cache, emits)

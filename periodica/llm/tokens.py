@@ -214,6 +214,10 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
+def forget_encoders() -> None:
+    _encoders.clear()
+
+
 def encoder_for(path: str, kind: str) -> Encoder:
     """The encoder of this worker process for a tokenizer file; kind: `byte` or `word`. It lives on between tasks."""
     if (path, kind) not in _encoders:
