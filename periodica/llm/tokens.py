@@ -133,7 +133,7 @@ class Encoder:
     the number of remembered pieces.
     """
 
-    def __init__(self, path: str, pieces, most: int = 500_000):
+    def __init__(self, path: str, pieces, most: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
