@@ -570,7 +570,7 @@ def cell_polygon_area(spark, sf_dir):
             a = [P.cell_region(UnitCell(Lattice.rectangular(4.0, 3.0), S.Rectangle((r.ax, r.ay), (r.w, r.h)))).area() for r in b.itertuples()]
             yield pd.DataFrame({"id": b.id, "a": a})
 
-    return _box_pairs(spark, sf_dir).where("id <= 200").mapInPandas(rows, "id long, a double").selectExpr("id", rounded("a", "area"))
+    return spread(_box_pairs(spark, sf_dir), "id").mapInPandas(rows, "id long, a double").selectExpr("id", rounded("a", "area"))
 
 
 def round_corners_area(spark, sf_dir):
@@ -582,7 +582,7 @@ def round_corners_area(spark, sf_dir):
         for b in batches:
             yield pd.DataFrame({"id": b.id, "a": [P.shape_region(S.Rectangle((0, 0), (r.w, r.h), 0.0, 0.2)).area() for r in b.itertuples()]})
 
-    return _box_pairs(spark, sf_dir).where("id <= 200").mapInPandas(rows, "id long, a double").selectExpr("id", rounded("a", "area"))
+    return spread(_box_pairs(spark, sf_dir), "id").mapInPandas(rows, "id long, a double").selectExpr("id", rounded("a", "area"))
 
 
 def grad_sdf_rect(spark, sf_dir):
