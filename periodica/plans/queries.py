@@ -112,9 +112,12 @@ def _csg(kind, smooth: bool):
 
 
 def csg_union_many(spark, sf_dir):
-    """Union of many figures as a relation: the least distance of each point to the parts of a small table, by partial aggregation."""
-    parts = table(spark, sf_dir, "supplier").where("s_suppkey <= 20").selectExpr("CAST(s_suppkey % 5 AS DOUBLE) - 2D + 0.03D AS cx", "CAST(s_suppkey % 4 AS DOUBLE) - 1.5D + 0.01D AS cy", "0.2D + CAST(s_suppkey AS DOUBLE) / 100D AS w")
-    met = points(spark, sf_dir).select("pt", "x", "y").crossJoin(F.broadcast(parts))  # 20 parts at most
+    """Union of many figures as a relation: the least distance of each point to all parts of a table, by partial aggregation.
+
+    The points are dealt over tasks. The parts are broadcast only if Spark finds them small; else the product is a cartesian one, in pieces.
+    """
+    parts = table(spark, sf_dir, "supplier").selectExpr("CAST(s_suppkey % 5 AS DOUBLE) - 2D + 0.03D AS cx", "CAST(s_suppkey % 4 AS DOUBLE) - 1.5D + 0.01D AS cy", "0.2D + CAST(s_suppkey AS DOUBLE) / 100D AS w")
+    met = spread(points(spark, sf_dir).select("pt", "x", "y"), "pt").crossJoin(parts)
     d = with_columns(met, {"d": S.Rectangle((col("cx"), col("cy")), (col("w"), 0.3)).sdf(X, Y)})
     return d.groupBy("pt").agg(F.min("d").alias("d")).selectExpr("pt", rounded("d", "sdf"))
 

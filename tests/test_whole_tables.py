@@ -25,3 +25,9 @@ def test_areas_of_every_part(spark, name):
     got, want = against_uncapped(spark, name, "id <= 200")
     assert len(got) == spark.read.parquet(f"{SF}/part.parquet").count() > 200
     assert got == want
+
+
+def test_union_of_every_supplier(spark):
+    got, want = against_uncapped(spark, "csg_union_many", "s_suppkey <= 20")
+    assert len(got) == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert got == want
