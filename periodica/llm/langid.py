@@ -272,15 +272,19 @@ def _determined(model: Model):
             for _, texts in text_batches(iter([b]), most=3_000_000):
                 if len(cache) > 200_000:
                     cache, emits = {}, emits[:0]
-                langs, _, emits = label(model, texts, cache, emits)
-                yield b.slice(at, len(texts)).filter(pa.array([x != UNDETERMINED for x in langs], pa.bool_()))
+                if model.langs:  # by the score, as a learned label may be `und` too
+                    _, scores, emits = label(model, texts, cache, emits)
+                    kept = [x > 0 for x in scores]
+                else:
+                    kept = [bool(t and WORD.search(t)) for t in texts]
+                yield b.slice(at, len(texts)).filter(pa.array(kept, pa.bool_()))
                 at += len(texts)
 
     return run
 
 
 def keep_determined(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows, with all their columns, whose text has a determined language: neither null nor without letters."""
+    """The rows, with all their columns, whose text is neither null nor without letters; whether or not the model knows a language."""
     return docs.mapInArrow(tidy(_determined(model)), docs.schema)
 
 
