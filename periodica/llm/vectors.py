@@ -17,6 +17,7 @@ A shard of any size is covered, block by block against each other block; blocks
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from periodica.llm.common import drop_stage, write_stage
 from periodica.llm.components import connected_components
 from periodica.llm.tokens import ragged_gather
 
+log = logging.getLogger(__name__)
+
 #: Nodes of a block on average; centroids of a label and labels with centroids at most; rows that they are fitted on.
 BLOCK, MOST_CENTROIDS, MOST_LABELS, SAMPLE = 2048, 256, 64, 20_000
 #: Vectors of a label for each of its centroids, up to the greatest number of those. A label of twice as many is cut.
@@ -278,15 +281,15 @@ def _brute(queries: list, threshold: float):
 
 
 def audit_recall(reps: DataFrame, links: DataFrame, threshold: float, queries: int = 200) -> float:
-    """Share of the links of `queries` sampled vectors that were found; 1 if they have none."""
+    """Mean over `queries` sampled vectors with links of the share of each one's links that were found; 1 if none has any."""
     n = reps.count()
     rows = reps.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // queries))) == 0).limit(2 * queries).collect()
     if not rows:
         return 1.0
     true = reps.mapInArrow(_brute(rows, threshold), "vec_id long, true_links long").groupBy("vec_id").agg(F.sum("true_links").alias("t"))
     found = links.groupBy("vec_id").agg(F.sum("links").alias("f"))
-    r = true.join(found, "vec_id", "left").agg(F.sum("t").alias("t"), F.sum(F.least(F.col("t"), F.coalesce("f", F.lit(0)))).alias("f")).first()
-    return r.f / r.t if r.t else 1.0
+    r = true.where("t > 0").join(found, "vec_id", "left").agg(F.avg(F.least(F.col("t"), F.coalesce("f", F.lit(0))) / F.col("t")).alias("share")).first()
+    return 1.0 if r.share is None else r.share
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, overlap: int = 3, steps: int = 40, least_recall: float = 0.95) -> DataFrame:
@@ -296,7 +299,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, overlap:
     Vectors link only when labels are equal and not null, lengths are equal, and the cosine in double precision
     is at least the threshold. Vectors that are null, empty or zero, or hold null or non-finite numbers, link with
     nothing and are kept. Equal vectors of a label link with each other. Rows without vec_id are left out; repeated
-    rows give repeated results, each counted as a vector. An empty table gives an empty result.
+    rows give repeated results, each counted as a vector. An empty table gives an empty result. Where the audited
+    recall stays below least_recall after three rounds, an error is raised.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label")).where("vec_id is not null")
     units = write_stage(v.mapInArrow(_valid, "vec_id long, label string, dim int, unit binary"), "vec-units")
@@ -306,9 +310,13 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, overlap:
     reps = members.where("vec_id = rep").select("vec_id", "label", "dim", "unit", "weight").dropDuplicates(["vec_id"])
     for _ in range(3):
         links = link(reps, threshold, overlap, steps)
-        if audit_recall(reps, links, threshold) >= least_recall:
+        recall = audit_recall(reps, links, threshold)
+        log.info("recall %.4f with overlap %d and %d steps", recall, overlap, steps)
+        if recall >= least_recall:
             break
         overlap, steps = 2 * overlap, 2 * steps
+    else:
+        raise RuntimeError(f"recall {recall:.4f} of the vector search stays below {least_recall}")
     comp = write_stage(connected_components(links.select(F.col("vec_id").alias("a"), F.col("other").alias("b"))), "vec-comp")
     count = links.groupBy("vec_id").agg(F.sum("links").alias("links"))
     whole = members.select("vec_id", "rep", "weight").join(count.withColumnRenamed("vec_id", "rep"), "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
