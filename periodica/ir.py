@@ -132,6 +132,17 @@ def floor_mod(a, m): return sub(a, mul(m, call("floor", div(a, m))))
 def length(a, b): return sqrt(greatest(a * a + b * b, TINY))
 
 
+def positive(raw) -> Ex:
+    """A parameter that stays positive for any raw value: the soft ramp ln(1 + exp(raw))."""
+    raw = lift(raw)
+    return where(lift(30.0) < raw, raw, call("ln", 1.0 + call("exp", least(raw, 30.0))))
+
+
+def bounded(raw, lo, hi) -> Ex:
+    """A parameter that stays between lo and hi for any raw value: the logistic curve between them."""
+    return lo + (lift(hi) - lo) / (1.0 + call("exp", least(-lift(raw), 700.0)))
+
+
 _SQL = {
     "+": "({0} + {1})", "-": "({0} - {1})", "*": "({0} * {1})", "/": "({0} / {1})", "lt": "({0} < {1})", "le": "({0} <= {1})", "and": "({0} AND {1})", "if": "CASE WHEN {0} THEN {1} ELSE {2} END",
     "sqrt": "sqrt({0})", "abs": "abs({0})", "sin": "sin({0})", "cos": "cos({0})", "floor": "CAST(floor({0}) AS DOUBLE)", "ceil": "CAST(ceil({0}) AS DOUBLE)", "exp": "exp({0})", "least": "least({0}, {1})", "greatest": "greatest({0}, {1})",

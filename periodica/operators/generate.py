@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.ir import evaluate
+from periodica.ir import evaluate, lift, sqrt
 from periodica.operators import shapes as S
 from periodica.operators.lattice import Lattice, UnitCell
 from periodica.operators.polygons import Region, cell_region, shape_region
@@ -267,19 +267,24 @@ class Validator:
         return "empty" if not len(r.t) else "zero_area" if r.area() <= 0 else None
 
 
+def resized(lattice: Lattice, whole=None, first=None, second=None) -> Lattice:
+    """The lattice with its first vector's length `whole`, angles and proportions kept; else each vector with a length of its own, if given.
+
+    Lengths and vectors are numbers or columns.
+    """
+    size = lambda v: sqrt(v[0] * v[0] + v[1] * v[1])
+    if whole is not None:
+        f = lift(whole) / size(lattice.a1)
+        return Lattice(*(tuple(c * f for c in v) for v in (lattice.a1, lattice.a2)))
+    return Lattice(*(v if new is None else tuple(c * (lift(new) / size(v)) for c in v) for v, new in ((lattice.a1, first), (lattice.a2, second))))
+
+
 def sample_lattice(config: Config, lattice: Lattice, rng: np.random.Generator) -> Lattice:
     """The lattice, resized: as a whole (angles stay), or each vector on its own. The whole goes first where both are set."""
-    a1, a2 = (np.array([float(v) for v in evaluate(list(a), {})]) for a in (lattice.a1, lattice.a2))
-    if config.fixed_lattice_L is not None or config.lattice_L_range is not None:
-        new = config.fixed_lattice_L if config.fixed_lattice_L is not None else rng.uniform(*config.lattice_L_range)
-        f = new / np.linalg.norm(a1)
-        return Lattice(tuple(a1 * f), tuple(a2 * f))
-    out = []
-    for a, fixed, span in ((a1, config.fixed_lattice_Lx, config.lattice_Lx_range), (a2, config.fixed_lattice_Ly, config.lattice_Ly_range)):
-        n = np.linalg.norm(a)
-        new = fixed if fixed is not None else rng.uniform(*span) if span is not None else n
-        out.append(tuple(a * (new / n)))
-    return Lattice(*out)
+    pick = lambda fixed, span: fixed if fixed is not None else rng.uniform(*span) if span is not None else None
+    if (whole := pick(config.fixed_lattice_L, config.lattice_L_range)) is not None:
+        return resized(lattice, whole)
+    return resized(lattice, None, pick(config.fixed_lattice_Lx, config.lattice_Lx_range), pick(config.fixed_lattice_Ly, config.lattice_Ly_range))
 
 
 def shape_fits(shape: S.Shape, region: Region, accepted: list[Region], lattice: Lattice, config: Config) -> bool:
@@ -333,12 +338,12 @@ def one_cell(config: Config, lattice: Lattice, rng: np.random.Generator) -> Unit
     return UnitCell(lattice, S.union_all(shapes))
 
 
-def make_cell(cell_id: int, config: Config, lattice: Lattice, validator=None) -> tuple[UnitCell | None, int, Counter]:
-    """(cell or None, attempts, reasons of failed attempts)."""
+def make_cell(cell_id: int, config: Config, lattice: Lattice, validator=None, attempt_one=one_cell) -> tuple[UnitCell | None, int, Counter]:
+    """(cell or None, attempts, reasons of failed attempts). attempt_one(config, lattice, rng) makes a cell or raises RuntimeError."""
     rng, reasons = np.random.default_rng([config.seed or 0, cell_id]), Counter()
     for attempt in range(1, config.max_tries_per_cell + 1):
         try:
-            cell = one_cell(config, sample_lattice(config, lattice, rng), rng)
+            cell = attempt_one(config, sample_lattice(config, lattice, rng), rng)
         except RuntimeError as e:
             reasons[str(e)] += 1
             continue
@@ -351,15 +356,18 @@ def make_cell(cell_id: int, config: Config, lattice: Lattice, validator=None) ->
 CELLS_SCHEMA = "cell_id long, cell string, attempts long, reasons map<string,long>, fill double"
 
 
-def generate(spark: SparkSession, config: Config, lattice: Lattice, validator=None) -> DataFrame:
-    """One row for each requested cell; cell is its JSON form, NULL if all attempts failed; fill is its polygon area by the cell's."""
+def generate(spark: SparkSession, config: Config, lattice: Lattice, validator=None, attempt_one=one_cell) -> DataFrame:
+    """One row for each requested cell; cell is its JSON form, NULL if all attempts failed; fill is its polygon area by the cell's.
+
+    validator and attempt_one (see make_cell) are the hooks for generators of one's own; they travel to the executors.
+    """
     a = tuple(tuple(float(v) for v in evaluate(list(x), {})) for x in (lattice.a1, lattice.a2))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for i in b.id:
-                cell, attempts, reasons = make_cell(int(i), config, Lattice(*a), validator)
+                cell, attempts, reasons = make_cell(int(i), config, Lattice(*a), validator, attempt_one)
                 fill = None if cell is None else cell_region(cell).area() / float(evaluate([cell.lattice.area()], {})[0])
                 out.append((i, None if cell is None else json.dumps(cell.to_parametric()), attempts, dict(reasons), fill))
             yield pd.DataFrame(out, columns=["cell_id", "cell", "attempts", "reasons", "fill"])

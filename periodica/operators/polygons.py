@@ -2,7 +2,10 @@
 
 A region is cut by vertical lines at every vertex and every crossing of edges. Within a slab the edges don't
 cross, so any boolean composition is a list of trapezoids between neighbouring edges. Areas, centroids, bounds,
-parts, holes and boundaries follow from the trapezoids. Numpy for one region; Spark distributes regions.
+parts, holes and boundaries follow from the trapezoids.
+
+A Region is one composition with constant parameters. Functions and operators named rows take a scene whose
+parameters are columns: an Arrow batch of rows is measured together as numpy blocks, never row by row.
 """
 
 from __future__ import annotations
@@ -10,13 +13,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from periodica.ir import evaluate, number
 from periodica.operators import shapes as S
+from periodica.operators.lattice import spread
 
 #: Half side of the box that stands for an endless stripe, and segments of a quarter circle: for discs and for rounded corners.
 FAR, DISC_SEGMENTS, CORNER_SEGMENTS = 1e6, 16, 32
@@ -144,30 +150,49 @@ class Region:
         if not len(self.t) or not len(other.t):
             return math.inf
         a, b = self.boundary(), other.boundary()
+        if self.ring is not None and other.ring is not None:
+            return float(ring_distance_rows(self.ring[None], other.ring[None])[0])
         if self.contains(b[:, 0], b[:, 1]).any() or other.contains(a[:, 0], a[:, 1]).any():
             return 0.0
         return float(segment_distances(a, b).min())
 
 
 def segment_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of each segment of a to each of b; 0 where they cross."""
+    """(..., k, l) distances of each segment of a (..., k, 4) to each of b (..., l, 4); 0 where they cross."""
 
     def to_points(s, p):
-        d = s[:, None, 2:] - s[:, None, :2]
-        w = p[None] - s[:, None, :2]
+        d = s[..., :, None, 2:] - s[..., :, None, :2]
+        w = p[..., None, :, :] - s[..., :, None, :2]
         n = (d * d).sum(-1)
         t = np.clip((w * d).sum(-1) / np.where(n > 0, n, 1.0), 0, 1)
         return np.linalg.norm(w - t[..., None] * d, axis=-1)
 
-    out = np.minimum(np.minimum(to_points(a, b[:, :2]), to_points(a, b[:, 2:])), np.minimum(to_points(b, a[:, :2]), to_points(b, a[:, 2:])).T)
+    back = lambda m: np.swapaxes(m, -1, -2)
+    out = np.minimum(np.minimum(to_points(a, b[..., :2]), to_points(a, b[..., 2:])), back(np.minimum(to_points(b, a[..., :2]), to_points(b, a[..., 2:]))))
     side = lambda p, q, r: (q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0])
-    a0, a1, b0, b1 = a[:, None, :2], a[:, None, 2:], b[None, :, :2], b[None, :, 2:]
+    a0, a1, b0, b1 = a[..., :, None, :2], a[..., :, None, 2:], b[..., None, :, :2], b[..., None, :, 2:]
     cross = (side(a0, a1, b0) * side(a0, a1, b1) < 0) & (side(b0, b1, a0) * side(b0, b1, a1) < 0)
     return np.where(cross, 0.0, out)
 
 
+def inside_rows(rings: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """(n, l) whether points (n, l, 2) lie within their row's ring (n, k, 2), even-odd."""
+    a, b = rings[:, None], np.roll(rings, -1, axis=1)[:, None]
+    x, y = points[:, :, None, 0], points[:, :, None, 1]
+    over = (a[..., 1] > y) != (b[..., 1] > y)
+    rise = np.where(over, b[..., 1] - a[..., 1], 1.0)
+    return (over & (x < a[..., 0] + (y - a[..., 1]) / rise * (b[..., 0] - a[..., 0]))).sum(axis=-1) % 2 == 1
+
+
+def ring_distance_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(n,) least distance of each row's rings (n, k, 2) and (n, l, 2); 0 where they touch, cross or hold each other."""
+    sides = lambda r: np.concatenate([r, np.roll(r, -1, axis=1)], axis=2)
+    d = segment_distances(sides(a), sides(b)).min(axis=(1, 2))
+    return np.where(inside_rows(a, b).any(axis=1) | inside_rows(b, a).any(axis=1), 0.0, d)
+
+
 def compose(rings: list[np.ndarray], inside: Callable[[list[bool]], bool]) -> Region:
-    """The region of a boolean function of "within ring k" (even-odd)."""
+    """The region of a boolean function, by &, | and ~, of "within ring k" (even-odd)."""
     segs = []
     for k, r in enumerate(rings):
         nxt = np.roll(r, -1, axis=0)
@@ -199,10 +224,11 @@ def compose(rings: list[np.ndarray], inside: Callable[[list[bool]], bool]) -> Re
         slope = (own[:, 3] - own[:, 1]) / (own[:, 2] - own[:, 0])
         ya, yb = own[:, 1] + (a - own[:, 0]) * slope, own[:, 1] + (b - own[:, 0]) * slope
         order = np.argsort(ya + yb, kind="stable")
-        state, open_ = [False] * len(rings), None
+        state, open_ = [np.False_] * len(rings), None
         for i in order:
             was = inside(state)
-            state[int(own[i, 4])] ^= True
+            k = int(own[i, 4])
+            state[k] = ~state[k]
             now = inside(state)
             if now and not was:
                 open_ = i
@@ -212,136 +238,288 @@ def compose(rings: list[np.ndarray], inside: Callable[[list[bool]], bool]) -> Re
     return Region(np.array(rows).reshape(-1, 6))
 
 
+def area_rows(rings: list[np.ndarray], inside: Callable) -> np.ndarray:
+    """(n,) areas of one boolean function of many rows of rings (n, k, 2), by slabs of all rows together.
+
+    Between neighbouring cuts edges don't cross, so a slab's area is its width times the heights, at its middle,
+    that the function holds for.
+    """
+    n = len(rings[0])
+    if len(rings) == 1 and bool(inside([np.True_])) and not bool(inside([np.False_])):
+        return np.abs(ring_area_rows(rings[0]))
+    e = np.concatenate([np.concatenate([r, np.roll(r, -1, axis=1)], axis=2) for r in rings], axis=1)
+    ring = np.repeat(np.arange(len(rings)), [r.shape[1] for r in rings])
+    e = np.where((e[..., :1] > e[..., 2:3]), e[..., [2, 3, 0, 1]], e)
+    out = np.empty(n)
+    i, j = np.triu_indices(len(ring), 1)
+    step = max(1, 4_000_000 // max(1, len(i)))
+    for at in range(0, n, step):
+        out[at : at + step] = _slab_areas(e[at : at + step], ring, i, j, inside)
+    return out
+
+
+def _slab_areas(e: np.ndarray, ring: np.ndarray, i: np.ndarray, j: np.ndarray, inside: Callable) -> np.ndarray:
+    d = e[..., 2:] - e[..., :2]
+    with np.errstate(all="ignore"):
+        den = d[:, i, 0] * d[:, j, 1] - d[:, i, 1] * d[:, j, 0]
+        w = e[:, j, :2] - e[:, i, :2]
+        t, u = (w[..., 0] * d[:, j, 1] - w[..., 1] * d[:, j, 0]) / den, (w[..., 0] * d[:, i, 1] - w[..., 1] * d[:, i, 0]) / den
+        hit = (np.abs(den) > 1e-15) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+        x = np.sort(np.concatenate([e[..., 0], e[..., 2], np.where(hit, e[:, i, 0] + t * d[:, i, 0], np.inf)], axis=1), axis=1)
+        x = x[:, : int(np.isfinite(x).sum(axis=1).max())]
+        x = np.where(np.isfinite(x), x, np.max(e[..., 2], axis=1)[:, None])  # empty slabs at the end
+        width, mid = np.diff(x, axis=1), 0.5 * (x[:, 1:] + x[:, :-1])
+        used = (width > 1e-13).any(axis=0)
+        width, mid = width[:, used], mid[:, used]
+        slope = np.where(d[..., 0] > 0, d[..., 1] / np.where(d[..., 0] > 0, d[..., 0], 1.0), 0.0)
+        total = np.zeros(len(e))
+        step = max(1, 2_000_000 // max(1, e.shape[0] * e.shape[1]))
+        for a in range(0, mid.shape[1], step):
+            m = mid[:, a : a + step, None]
+            on = (e[:, None, :, 0] < m) & (e[:, None, :, 2] > m)
+            y = np.where(on, e[:, None, :, 1] + (m - e[:, None, :, 0]) * slope[:, None], np.inf)
+            order = np.argsort(y, axis=2, kind="stable")
+            y, own = np.take_along_axis(y, order, 2), np.where(np.take_along_axis(on, order, 2), ring[order], -1)
+            now = inside([(np.cumsum(own == k, axis=2) % 2).astype(bool) for k in range(int(ring.max()) + 1)])
+            height = np.diff(y, axis=2)
+            total += (width[:, a : a + step] * np.where(now[..., :-1] & np.isfinite(height), height, 0.0).sum(axis=2)).sum(axis=1)
+    return total
+
+
 # ---- rings of shapes ------------------------------------------------------------------------------------------
 
 
+def ring_area_rows(r: np.ndarray) -> np.ndarray:
+    """(n,) signed areas of rings (n, k, 2)."""
+    n = np.roll(r, -1, axis=1)
+    return 0.5 * (r[..., 0] * n[..., 1] - n[..., 0] * r[..., 1]).sum(axis=1)
+
+
 def ring_area(r: np.ndarray) -> float:
     """Signed area."""
-    n = np.roll(r, -1, axis=0)
-    return float(0.5 * (r[:, 0] * n[:, 1] - n[:, 0] * r[:, 1]).sum())
+    return float(ring_area_rows(r[None])[0])
 
 
-def round_corners(ring: np.ndarray, radius: float, mode: str = "outer", quad_segs: int = CORNER_SEGMENTS, inner_radius: float | None = None) -> np.ndarray:
-    """Corners replaced by arcs that touch both sides: convex ones (outer), concave ones (inner), or both. Radius 0 changes nothing."""
+def round_corners_rows(rings: np.ndarray, radius: np.ndarray, mode: str = "outer", quad_segs: int = CORNER_SEGMENTS, inner_radius: np.ndarray | None = None) -> np.ndarray:
+    """Corners of rings (n, k, 2) replaced by arcs that touch both sides: convex ones (outer), concave ones (inner), or both.
+
+    Radii are (n,). An arc has quad_segs segments for each right angle that it turns by, begun ones included; where
+    rows need different numbers, or none, points are repeated, which changes no measure.
+    """
     if mode not in ("outer", "inner", "both"):
         raise ValueError("mode must be 'outer', 'inner' or 'both'")
-    if radius < 0 or (inner_radius or 0) < 0:
+    inner_radius = radius if inner_radius is None else inner_radius
+    if (radius < 0).any() or (inner_radius < 0).any():
         raise ValueError("radius must be non-negative")
     if quad_segs < 1:
         raise ValueError("quad_segs must be positive")
-    ccw = 1.0 if ring_area(ring) > 0 else -1.0
-    out = []
-    for i, p in enumerate(ring):
-        a, b = ring[i - 1] - p, ring[(i + 1) % len(ring)] - p
-        la, lb = np.linalg.norm(a), np.linalg.norm(b)
-        turn = ccw * (b[0] * a[1] - b[1] * a[0])
-        r = radius if turn > 0 and mode in ("outer", "both") else (radius if inner_radius is None else inner_radius) if turn < 0 and mode in ("inner", "both") else 0.0
-        half = 0.5 * math.acos(float(np.clip(a @ b / (la * lb), -1, 1)))
-        if r <= 0 or half >= math.pi / 2 - 1e-12:
-            out.append(p)
-            continue
-        reach = min(r / math.tan(half), la, lb)
-        r = reach * math.tan(half)
-        mid = a / la + b / lb
-        c = p + mid / np.linalg.norm(mid) * (r / math.sin(half))
-        v0, v1 = p + a / la * reach - c, p + b / lb * reach - c
-        start = math.atan2(v0[1], v0[0])
-        sweep = (math.atan2(v1[1], v1[0]) - start + math.pi) % (2 * math.pi) - math.pi
-        n = max(1, math.ceil(abs(sweep) / (math.pi / 2) * quad_segs - 1e-9))
-        out += [c + r * np.array([math.cos(start + sweep * k / n), math.sin(start + sweep * k / n)]) for k in range(n + 1)]
-    return np.array(out)
+    a, b = np.roll(rings, 1, axis=1) - rings, np.roll(rings, -1, axis=1) - rings
+    la, lb = np.linalg.norm(a, axis=2), np.linalg.norm(b, axis=2)
+    turn = np.sign(ring_area_rows(rings))[:, None] * (b[..., 0] * a[..., 1] - b[..., 1] * a[..., 0])
+    r = np.where(turn > 0, radius[:, None] if mode != "inner" else 0.0, inner_radius[:, None] if mode != "outer" else 0.0) * (turn != 0)
+    half = 0.5 * np.arccos(np.clip((a * b).sum(axis=2) / (la * lb), -1, 1))
+    sharp = (r <= 0) | (half >= np.pi / 2 - 1e-12)
+    tan = np.tan(np.where(sharp, 0.5, half))
+    reach = np.minimum(np.where(sharp, 0.0, r) / tan, np.minimum(la, lb))  # from the corner to where the arc touches
+    r = reach * tan
+    ua, ub = a / la[..., None], b / lb[..., None]
+    mid = ua + ub
+    size = np.linalg.norm(mid, axis=2)
+    c = rings + mid / np.where(size > 0, size, 1.0)[..., None] * (r / np.sin(np.where(sharp, 0.5, half)))[..., None]
+    v0, v1 = rings + ua * reach[..., None] - c, rings + ub * reach[..., None] - c
+    start = np.arctan2(v0[..., 1], v0[..., 0])
+    sweep = np.where(sharp, 0.0, (np.arctan2(v1[..., 1], v1[..., 0]) - start + np.pi) % (2 * np.pi) - np.pi)
+    n = np.where(sharp, 0, np.maximum(1, np.ceil(np.abs(sweep) / (np.pi / 2) * quad_segs - 1e-9))).astype(int)
+    parts = []
+    for k in range(rings.shape[1]):
+        i = np.arange(int(n[:, k].max(initial=0)) + 1)
+        t = start[:, k, None] + sweep[:, k, None] * np.minimum(i[None], n[:, k, None]) / np.maximum(n[:, k, None], 1)
+        arc = c[:, k, None] + r[:, k, None, None] * np.stack([np.cos(t), np.sin(t)], axis=2)
+        parts.append(np.where(sharp[:, k, None, None], rings[:, k, None], arc))
+    return np.concatenate(parts, axis=1)
+
+
+def round_corners(ring: np.ndarray, radius: float, mode: str = "outer", quad_segs: int = CORNER_SEGMENTS, inner_radius: float | None = None) -> np.ndarray:
+    """One ring with its corners rounded. Radius 0 changes nothing."""
+    return round_corners_rows(np.asarray(ring, float)[None], np.array([radius], float), mode, quad_segs, None if inner_radius is None else np.array([inner_radius], float))[0]
 
 
 def _numbers(es) -> list[float]:
     return [float(v) for v in evaluate(list(es), {})]
 
 
-def _disc(n: int) -> np.ndarray:
-    t = -2 * np.pi * np.arange(4 * n) / (4 * n)
-    return np.stack([np.cos(t), np.sin(t)], 1)[::-1]
+def _arc(start: float, stop: float, n: int) -> np.ndarray:
+    """n + 1 points of the unit circle."""
+    t = np.linspace(start, stop, n + 1)
+    return np.stack([np.cos(t), np.sin(t)], axis=1)
 
 
-def shape_ring(s: S.Shape) -> np.ndarray:
-    """Outline of a primitive with constant parameters, as vertices."""
+def ring_rows(s: S.Shape, env: dict, n: int) -> np.ndarray:
+    """(n, k, 2) outline of a primitive whose parameters are numbers or columns of env, which hold n values each."""
+    get = lambda es: np.stack([np.broadcast_to(v, n) for v in evaluate(list(es), env)], axis=1)
     if isinstance(s, S.Bar):
-        lo, hi = _numbers((s.offset - 0.5 * s.width, s.offset + 0.5 * s.width))
-        box = np.array([[-FAR, lo], [FAR, lo], [FAR, hi], [-FAR, hi]])
-        return box if s.axis == "x" else box[:, ::-1][::-1].copy()
-    (cx, cy), (angle,) = _numbers(s.center), _numbers((s.angle,))
+        lo, hi = get((s.offset - 0.5 * s.width, s.offset + 0.5 * s.width)).T
+        far = np.full(n, FAR)
+        box = np.stack([np.stack(p, axis=1) for p in ((-far, lo), (far, lo), (far, hi), (-far, hi))], axis=1)
+        return box if s.axis == "x" else box[:, ::-1, ::-1]
     if isinstance(s, S.Ellipse):
-        local = _disc(DISC_SEGMENTS) * (0.5 * np.array(_numbers(s.axes)))
+        local = _arc(0, 2 * np.pi, 4 * DISC_SEGMENTS)[None, :-1] * (0.5 * get(s.axes))[:, None]
     elif isinstance(s, S.Egg):
-        a, up, down = _numbers(s.halves())
-        t = np.linspace(0, np.pi, 64)
-        top = np.stack([a * np.cos(t), up * np.sin(t)], 1)
-        low = np.stack([-a * np.cos(t), -down * np.sin(t)], 1)
-        local = np.concatenate([top[:-1], low[:-1]])
+        a, up, down = get(s.halves()).T[..., None]
+        t = _arc(0, np.pi, 63)[:-1]
+        top, low = np.stack([a * t[:, 0], up * t[:, 1]], axis=2), np.stack([-a * t[:, 0], -down * t[:, 1]], axis=2)
+        local = np.concatenate([top, low], axis=1)
     elif isinstance(s, S.Stadium):
-        l, w = _numbers((s.length, s.width))
-        t = np.linspace(-np.pi / 2, np.pi / 2, 2 * DISC_SEGMENTS + 1)
-        end = 0.5 * w * np.stack([np.cos(t), np.sin(t)], 1)
-        local = np.concatenate([end + [0.5 * (l - w), 0], -end - [0.5 * (l - w), 0]])
-        if l == w:
-            local = np.concatenate([end[:-1], -end[:-1]])
+        l, w = get((s.length, s.width)).T[..., None, None]
+        end = 0.5 * w * _arc(-np.pi / 2, np.pi / 2, 2 * DISC_SEGMENTS)[None] + np.concatenate([0.5 * (l - w), 0 * l], axis=2)
+        local = np.concatenate([end, -end], axis=1)
     else:
-        corners = _numbers(v for p in s.corners() for v in p)
-        ring = np.array(corners).reshape(-1, 2)
-        if isinstance(s, (S.Star, S._Junction)):
-            ro, ri = _numbers((s.outer_corner_radius, s.inner_corner_radius))
-            return round_corners(ring, ro, "both", inner_radius=ri)
-        (r,) = _numbers((s.corner_radius,))
-        return round_corners(ring, r, "outer", DISC_SEGMENTS if isinstance(s, S.Rectangle) else CORNER_SEGMENTS)
-    c, q = math.cos(math.radians(angle)), math.sin(math.radians(angle))
-    return local @ np.array([[c, q], [-q, c]]) + [cx, cy]
-
-
-def _flatten(s: S.Shape, rings: list[np.ndarray], move: Callable[[np.ndarray], np.ndarray]) -> Callable[[list[bool]], bool]:
-    """Collects the rings of a scene; gives the boolean function of being within them. Smoothing is ignored."""
+        corners = s.corners()
+        ring = get(v for p in corners for v in p).reshape(n, len(corners), 2)
+        radii = (s.outer_corner_radius, s.inner_corner_radius) if isinstance(s, (S.Star, S._Junction)) else (s.corner_radius,)
+        if all(number(r) == 0 for r in radii):
+            return ring
+        if len(radii) == 2:
+            ro, ri = get(radii).T
+            return round_corners_rows(ring, ro, "both", inner_radius=ri)
+        return round_corners_rows(ring, get((s.corner_radius,))[:, 0], "outer", DISC_SEGMENTS if isinstance(s, S.Rectangle) else CORNER_SEGMENTS)
+    return _turned(local, np.radians(get((s.angle,))[:, 0])) + get(s.center)[:, None]
+
+
+def _turned(rings: np.ndarray, t: np.ndarray) -> np.ndarray:
+    c, q = np.cos(t)[:, None], np.sin(t)[:, None]
+    return np.stack([c * rings[..., 0] - q * rings[..., 1], q * rings[..., 0] + c * rings[..., 1]], axis=2)
+
+
+def shape_ring(s: S.Shape) -> np.ndarray:
+    """Outline of a primitive with constant parameters, as vertices; repeated ones are left out."""
+    r = ring_rows(s, {}, 1)[0]
+    return r[(r != np.roll(r, 1, axis=0)).any(axis=1)]
+
+
+def scene_rows(s: S.Shape, env: dict, n: int, rings: list[np.ndarray], move: Callable[[np.ndarray], np.ndarray] = lambda r: r) -> Callable:
+    """Collects the rings (n, k, 2) of a scene; gives the boolean function, by &, | and ~, of being within them. Smoothing is ignored."""
+    get = lambda es: np.stack([np.broadcast_to(v, n) for v in evaluate(list(es), env)], axis=1)
     if isinstance(s, S._Boolean):
-        a, b = _flatten(s.left, rings, move), _flatten(s.right, rings, move)
+        a, b = scene_rows(s.left, env, n, rings, move), scene_rows(s.right, env, n, rings, move)
         if isinstance(s, S.Union):
-            return lambda v: a(v) or b(v)
+            return lambda v: a(v) | b(v)
         if isinstance(s, S.Intersection):
-            return lambda v: a(v) and b(v)
-        return lambda v: a(v) and not b(v)
+            return lambda v: a(v) & b(v)
+        return lambda v: a(v) & ~b(v)
     if isinstance(s, S.Translate):
-        d = np.array(_numbers((s.dx, s.dy)))
-        return _flatten(s.shape, rings, lambda r: move(r + d))
+        d = get((s.dx, s.dy))[:, None]
+        return scene_rows(s.shape, env, n, rings, lambda r: move(r + d))
     if isinstance(s, S.Rotate):
-        (deg, ox, oy), t = _numbers((s.angle, *s.origin)), None
-        t = math.radians(deg)
-        m, o = np.array([[math.cos(t), math.sin(t)], [-math.sin(t), math.cos(t)]]), np.array([ox, oy])
-        return _flatten(s.shape, rings, lambda r: move((r - o) @ m + o))
+        t, o = np.radians(get((s.angle,))[:, 0]), get(s.origin)[:, None]
+        return scene_rows(s.shape, env, n, rings, lambda r: move(_turned(r - o, t) + o))
     if isinstance(s, S.Scale):
-        f, ox, oy = _numbers((s.factor, *s.origin))
-        o = np.array([ox, oy])
-        return _flatten(s.shape, rings, lambda r: move((r - o) * f + o))
+        f, o = get((s.factor,))[:, None], get(s.origin)[:, None]
+        return scene_rows(s.shape, env, n, rings, lambda r: move((r - o) * f + o))
     k = len(rings)
-    rings.append(move(shape_ring(s)))
+    rings.append(move(ring_rows(s, env, n)))
     return lambda v: v[k]
 
 
 def shape_region(s: S.Shape) -> Region:
     rings: list[np.ndarray] = []
-    inside = _flatten(s, rings, lambda r: r)
-    out = compose(rings, inside)
-    return Region(out.t, rings[0]) if len(rings) == 1 else out
+    inside = scene_rows(s, {}, 1, rings)
+    out = compose([r[0] for r in rings], inside)
+    return Region(out.t, rings[0][0]) if len(rings) == 1 else out
 
 
-def cell_region(cell) -> Region:
-    """All copies of the scene within the cell's parallelogram."""
+def cell_rows(cell, env: dict, n: int, span) -> tuple[list[np.ndarray], Callable]:
+    """Rings and function of all copies in span (i0, i1, j0, j1), within the cell's parallelogram."""
+    get = lambda es: np.stack([np.broadcast_to(v, n) for v in evaluate(list(es), env)], axis=1)
     rings: list[np.ndarray] = []
     tests = []
-    (i0, i1), (j0, j1) = cell.copy_ranges()
-    v = [int(number(e)) for e in (i0, i1, j0, j1)]
-    for i in range(v[0], v[1] + 1):
-        for j in range(v[2], v[3] + 1):
-            o = np.array(_numbers(cell.lattice.offset(i, j)))
-            tests.append(_flatten(cell.scene, rings, lambda r, o=o: r + o))
-    a1, a2 = np.array(_numbers(cell.lattice.a1)), np.array(_numbers(cell.lattice.a2))
+    i0, i1, j0, j1 = map(int, span)
+    for i in range(i0, i1 + 1):
+        for j in range(j0, j1 + 1):
+            o = get(cell.lattice.offset(i, j))[:, None]
+            tests.append(scene_rows(cell.scene, env, n, rings, lambda r, o=o: r + o))
+    a1, a2 = get(cell.lattice.a1), get(cell.lattice.a2)
     k = len(rings)
-    rings.append(np.array([a1 * 0, a1, a1 + a2, a2]))
-    return compose(rings, lambda s: s[k] and any(t(s) for t in tests))
+    rings.append(np.stack([a1 * 0, a1, a1 + a2, a2], axis=1))
+    return rings, lambda v: v[k] & reduce(or_, [t(v) for t in tests])
+
+
+def cell_region(cell) -> Region:
+    """All copies of the scene within the cell's parallelogram."""
+    rings, inside = cell_rows(cell, {}, 1, [number(e) for pair in cell.copy_ranges() for e in pair])
+    return compose([r[0] for r in rings], inside)
+
+
+# ---- operators over tables of scenes --------------------------------------------------------------------------
+
+
+def _over_rows(df: DataFrame, key: str, outs: list[str], run: Callable[[dict, int], list]) -> DataFrame:
+    """key and DOUBLE columns outs: run(columns, number of rows) for each Arrow batch. The rows, a few numbers each, are dealt over the configured number of tasks."""
+    names = [c for c in df.columns if c != key]
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                env = {c: np.asarray(b.column(c).to_numpy(zero_copy_only=False), float) for c in names}
+                yield pa.RecordBatch.from_arrays([b.column(key), *(pa.array(v, pa.float64()) for v in run(env, b.num_rows))], names=[key, *outs])
+
+    return spread(df, key).mapInArrow(rows, ", ".join([f"{key} {dict(df.dtypes)[key]}", *(f"{o} double" for o in outs)]))
+
+
+def scene_areas(df: DataFrame, scenes: dict[str, S.Shape], key: str) -> DataFrame:
+    """key and, by name, the exact area of each scene's polygons, with parameters from the columns of each row."""
+
+    def area(scene, env, n):
+        rings: list[np.ndarray] = []
+        inside = scene_rows(scene, env, n, rings)
+        return area_rows(rings, inside)
+
+    return _over_rows(df, key, list(scenes), lambda env, n: [area(s, env, n) for s in scenes.values()])
+
+
+def cell_areas(df: DataFrame, cell, key: str, out: str = "area") -> DataFrame:
+    """key, out: area of the periodic scene within its cell, with parameters from the columns. Rows that need the same copies are measured together."""
+    ends = [e for pair in cell.copy_ranges() for e in pair]
+
+    def run(env, n):
+        got = np.zeros(n)
+        spans = np.stack([np.broadcast_to(v, n) for v in evaluate(ends, env)], axis=1)
+        kinds, which = np.unique(spans, axis=0, return_inverse=True)
+        for k, span in enumerate(kinds):
+            at = np.flatnonzero(which.ravel() == k)
+            rings, inside = cell_rows(cell, {c: v[at] for c, v in env.items()}, len(at), span)
+            got[at] = area_rows(rings, inside)
+        return [got]
+
+    return _over_rows(df, key, [out], run)
+
+
+def shape_distances(df: DataFrame, a: S.Shape, b: S.Shape, key: str, out: str = "distance") -> DataFrame:
+    """key, out: least distance of the outlines of two figures with parameters from the columns; 0 where they touch or overlap."""
+    return _over_rows(df, key, [out], lambda env, n: [ring_distance_rows(ring_rows(a, env, n), ring_rows(b, env, n))])
+
+
+def outline_columns(df: DataFrame, figures: dict[str, S.Shape], key: str) -> DataFrame:
+    """key, shape, ring (array of structs x, y): the outlines, curves and rounded corners as chords, of named figures with parameters from the columns."""
+    import pyarrow as pa
+
+    kind = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+    names = [c for c in df.columns if c != key]
+
+    def rows(batches):
+        for b in batches:
+            env = {c: np.asarray(b.column(c).to_numpy(zero_copy_only=False), float) for c in names}
+            for name, figure in figures.items():
+                for at in range(0, b.num_rows, 512):
+                    m = min(512, b.num_rows - at)
+                    r = ring_rows(figure, {c: v[at : at + m] for c, v in env.items()}, m)
+                    flat = pa.StructArray.from_arrays([pa.array(r[..., i].ravel()) for i in (0, 1)], fields=list(kind))
+                    rings = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * r.shape[1], pa.int32()), flat)
+                    yield pa.RecordBatch.from_arrays([b.column(key).slice(at, m), pa.array([name] * m), rings], names=[key, "shape", "ring"])
+
+    return df.mapInArrow(rows, f"{key} {dict(df.dtypes)[key]}, shape string, ring array<struct<x:double,y:double>>")
 
 
 # ---- columns of vertices --------------------------------------------------------------------------------------
@@ -359,8 +537,33 @@ def bounds_column(ring: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
+def centroid_column(ring: Column) -> Column:
+    """Area centroid of a ring, as a struct x, y; NULLs without area."""
+    nxt = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+
+    def total(of):
+        terms = F.zip_with(ring, nxt, lambda a, b: of(a, b) * (a["x"] * b["y"] - b["x"] * a["y"]))
+        return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
+
+    three = F.nullif(3 * total(lambda a, b: F.lit(1.0)), F.lit(0.0))
+    return F.struct((total(lambda a, b: a["x"] + b["x"]) / three).alias("x"), (total(lambda a, b: a["y"] + b["y"]) / three).alias("y"))
+
+
+def covers_column(ring: Column, x: Column, y: Column, slack: float = 0.0) -> Column:
+    """Whether a point lies in a ring or on its outline, within `slack` of it."""
+    nxt = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+
+    def on(a, b):
+        dx, dy, wx, wy = b["x"] - a["x"], b["y"] - a["y"], x - a["x"], y - a["y"]
+        n = dx * dx + dy * dy
+        t = F.when(n > 0, F.least(F.greatest((wx * dx + wy * dy) / n, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+        return F.hypot(wx - t * dx, wy - t * dy) <= slack
+
+    return contains_column(ring, x, y) | F.exists(F.zip_with(ring, nxt, on), lambda c: c)
+
+
 def contains_column(ring: Column, x: Column, y: Column) -> Column:
-    """Even-odd test of a point."""
+    """Even-odd test of a point; which side the outline itself counts to isn't fixed (see covers_column)."""
     nxt = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
     crossed = F.zip_with(ring, nxt, lambda a, b: ((a["y"] > y) != (b["y"] > y)) & (x < a["x"] + (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) * (b["x"] - a["x"])))
     return F.size(F.filter(crossed, lambda c: c)) % 2 == 1
@@ -368,3 +571,14 @@ def contains_column(ring: Column, x: Column, y: Column) -> Column:
 
 def moved_column(ring: Column, dx: Column, dy: Column) -> Column:
     return F.transform(ring, lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y")))
+
+
+def rotated_column(ring: Column, degrees: Column, ox, oy) -> Column:
+    """The ring turned counter-clockwise about (ox, oy)."""
+    c, s, ox, oy = F.cos(F.radians(degrees)), F.sin(F.radians(degrees)), F.lit(ox), F.lit(oy)
+    return F.transform(ring, lambda p: F.struct((c * (p["x"] - ox) - s * (p["y"] - oy) + ox).alias("x"), (s * (p["x"] - ox) + c * (p["y"] - oy) + oy).alias("y")))
+
+
+def scaled_column(ring: Column, factor: Column, ox, oy) -> Column:
+    ox, oy = F.lit(ox), F.lit(oy)
+    return F.transform(ring, lambda p: F.struct((factor * (p["x"] - ox) + ox).alias("x"), (factor * (p["y"] - oy) + oy).alias("y")))

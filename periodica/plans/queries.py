@@ -8,11 +8,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.ir import Ex, call, col, derivative, floor_mod, lift, sql, with_columns
+from periodica.ir import Ex, bounded, call, col, derivative, floor_mod, lift, positive, where, with_columns
 from periodica.operators import analysis, generate
 from periodica.operators import polygons as P
 from periodica.operators import shapes as S
-from periodica.operators.lattice import Lattice, UnitCell, boundary_points, box_ranges, cartesian_grid, default_softness, fill_fractions, fractional_grid, hard_mask, periodic_sdf, rasterize, soft_mask, spread
+from periodica.operators.lattice import Lattice, UnitCell, boundary_points, box_ranges, cartesian_grid, default_softness, fill_fractions, fractional_grid, hard_mask, periodic_sdf, raster_prints, rasterize, soft_mask
+from periodica.operators.nearest import union_distances
 from periodica.sources.cells import scene_types
 
 K, X, Y, ANG = col("k"), col("x"), col("y"), col("ang")
@@ -77,22 +78,43 @@ def min_feature_size(spark, sf_dir):
     return df.select("pt", F.explode(pairs).alias("f")).selectExpr("pt", "f.shape", rounded("f.v", "size"))
 
 
-def error_column(shape: S.Shape) -> str:
-    """SQL for the first message that a shape's parameters earn, NULL for valid ones."""
-    return "CASE " + " ".join(f"WHEN {sql(bad)} THEN '{message}'" for bad, message in shape.checks() if isinstance(bad, Ex)) + " END"
+def first_failures(df: DataFrame, figures: dict[str, S.Shape], key: str) -> DataFrame:
+    """key, shape, error: the first message that each figure's parameters earn, NULL for valid ones. Conditions are numbered, so that they can be staged."""
+    codes, messages = {}, {}
+    for i, (name, figure) in enumerate(figures.items()):
+        checks = [(bad, message) for bad, message in figure.checks() if isinstance(bad, Ex)]
+        code = lift(0.0)
+        for n in range(len(checks), 0, -1):
+            code = where(checks[n - 1][0], float(n), code)
+        codes[f"e{i}"], messages[name] = code, [m for _, m in checks]
+    found = F.array(*(F.struct(F.lit(n).alias("shape"), F.when(F.col(f"e{i}") > 0, F.get(F.array(*map(F.lit, messages[n])), F.col(f"e{i}").cast("int") - 1)).alias("error")) for i, n in enumerate(figures)))
+    return with_columns(df, codes).select(key, F.explode(found).alias("f")).select(key, "f.shape", "f.error")
+
+
+def checked_figures(wide: bool) -> dict[str, S.Shape]:
+    """Figures over columns a, b, r and q; with `wide`, sizes go far enough that most radii must be moved into their range."""
+    a, b, r, q = (col(c) for c in "abrq")
+    o = (0.0, 0.0)
+    return {
+        "rectangle": S.Rectangle(o, (a, b), 0.0, r), "convex_quad": S.ConvexQuad(o, (a, 0.1), (-0.1, b), 0.0, 0.0, 0.0, r), "trapezoid": S.IsoscelesTrapezoid(o, a, b, 0.8317, 0.0, r),
+        "ellipse": S.Ellipse(o, (a, b)), "egg": S.Egg(o, a, b, q * 1.3), "stadium": S.Stadium(o, a, b), "regular_polygon": S.RegularPolygon(o, 5, b, 0.0, r),
+        "triangle": S.Triangle(o, a, 60.0, 50.0, 0.0, r) if wide else S.Triangle(o, a, q * 150.0, r * 200.0, 0.0, r * 0.1), "star": S.Star(o, 5, a + b if wide else a, b, 0.0, r, q),
+        "cross": S.Cross(o, a, b, 0.0, r, q), "tshape": S.TShape(o, a, b, 0.0, r, q), "bar": S.Bar(0.0, b),
+    }
 
 
 def validate_shapes(spark, sf_dir):
-    """First failure of crosses whose parameters come from parts, many of them invalid."""
-    df = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CAST(p_size AS DOUBLE) / 10D - 0.2D AS l", "(p_retailprice - 900D) / 40D - 0.1D AS w", "CAST(p_partkey % 7 AS DOUBLE) / 10D - 0.1D AS ro", "CAST(p_partkey % 11 AS DOUBLE) / 10D - 0.1D AS ri")
-    return df.selectExpr("id", error_column(S.Cross((0, 0), col("l"), col("w"), 0.0, col("ro"), col("ri"))) + " AS error")
+    """First failure of each of the twelve figures, with parameters from parts, many of them invalid."""
+    df = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CAST(p_size AS DOUBLE) / 10D - 0.2D AS a", "(p_retailprice - 900D) / 40D - 0.1D AS b", "CAST(p_partkey % 7 AS DOUBLE) / 10D - 0.1D AS r", "CAST(p_partkey % 11 AS DOUBLE) / 10D - 0.1D AS q")
+    return first_failures(df, checked_figures(False), "id")
 
 
 def project_params(spark, sf_dir):
-    """Cross parameters moved into their valid ranges."""
-    df = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CAST(p_size AS DOUBLE) / 10D - 0.2D AS l", "(p_retailprice - 900D) / 40D - 0.1D AS w", "CAST(p_partkey % 7 AS DOUBLE) / 10D - 0.1D AS ro", "CAST(p_partkey % 11 AS DOUBLE) / 10D - 0.1D AS ri")
-    hl, hw, ro, ri = S.Cross((0, 0), col("l"), col("w"), 0.0, col("ro"), col("ri"))._sizes()
-    return with_columns(df, {"a": 2.0 * hl, "b": 2.0 * hw, "c": ro, "d": ri}).selectExpr("id", rounded("a", "length"), rounded("b", "width"), rounded("c", "outer_radius"), rounded("d", "inner_radius"))
+    """Parameters as a distance takes them: moved into their valid ranges."""
+    df = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CAST(p_size AS DOUBLE) / 10D + 0.1D AS a", "(p_retailprice - 900D) / 40D + 0.2D AS b", "CAST(p_partkey % 7 AS DOUBLE) / 10D - 0.1D AS r", "CAST(p_partkey % 11 AS DOUBLE) / 10D - 0.1D AS q")
+    new = {f"{n}.{k}": v for n, f in checked_figures(True).items() for k, v in f.projected().items()}
+    flat = F.array(*(F.struct(F.lit(n.split(".")[0]).alias("shape"), F.lit(n.split(".")[1]).alias("param"), F.col(f"v{i}").alias("v")) for i, n in enumerate(new)))
+    return with_columns(df, {f"v{i}": v for i, v in enumerate(new.values())}).select("id", F.explode(flat).alias("f")).selectExpr("id", "f.shape", "f.param", rounded("f.v", "value"))
 
 
 # ---- composition, transforms
@@ -112,14 +134,9 @@ def _csg(kind, smooth: bool):
 
 
 def csg_union_many(spark, sf_dir):
-    """Union of many figures as a relation: the least distance of each point to all parts of a table, by partial aggregation.
-
-    The points are dealt over tasks. The parts are broadcast only if Spark finds them small; else the product is a cartesian one, in pieces.
-    """
-    parts = table(spark, sf_dir, "supplier").selectExpr("CAST(s_suppkey % 5 AS DOUBLE) - 2D + 0.03D AS cx", "CAST(s_suppkey % 4 AS DOUBLE) - 1.5D + 0.01D AS cy", "0.2D + CAST(s_suppkey AS DOUBLE) / 100D AS w")
-    met = spread(points(spark, sf_dir).select("pt", "x", "y"), "pt").crossJoin(parts)
-    d = with_columns(met, {"d": S.Rectangle((col("cx"), col("cy")), (col("w"), 0.3)).sdf(X, Y)})
-    return d.groupBy("pt").agg(F.min("d").alias("d")).selectExpr("pt", rounded("d", "sdf"))
+    """Union of all figures of a table: the least distance of each point, which meets only figures that can be nearest."""
+    figures = table(spark, sf_dir, "supplier").selectExpr("CAST(s_suppkey % 5 AS DOUBLE) - 2D + 0.03D AS cx", "CAST(s_suppkey % 4 AS DOUBLE) - 1.5D + 0.01D AS cy", "0.2D + CAST(s_suppkey AS DOUBLE) / 100D AS w")
+    return union_distances(points(spark, sf_dir).select("pt", "x", "y"), figures, S.Rectangle((col("cx"), col("cy")), (col("w"), 0.3))).selectExpr("pt", rounded("sdf", "sdf"))
 
 
 def csg_setop_equivalence(spark, sf_dir):
@@ -310,7 +327,7 @@ def poly_vertices(spark, sf_dir):
 
 def _rings(spark, sf_dir):
     df = _corners_df(spark, sf_dir, SHARP)
-    return df.select("pt", "x", "y", F.explode(F.array(*(F.struct(F.lit(n).alias("shape"), _ring(n, k).alias("ring")) for n, k in SHARP.items()))).alias("s")).select("pt", "x", "y", "s.shape", "s.ring")
+    return df.select("pt", "x", "y", "k", F.explode(F.array(*(F.struct(F.lit(n).alias("shape"), _ring(n, k).alias("ring")) for n, k in SHARP.items()))).alias("s")).select("pt", "x", "y", "k", "s.shape", "s.ring")
 
 
 def poly_area(spark, sf_dir):
@@ -319,23 +336,23 @@ def poly_area(spark, sf_dir):
 
 
 def poly_centroid(spark, sf_dir):
-    """Area centroids of moved trapezoids and tees, as expressions over their vertices."""
-    f = figures()
-    new = {}
-    for n in ("trapezoid", "tshape"):
-        v = f[n].corners()
-        a = mx = my = lift(0.0)
-        for (ax, ay), (bx, by) in zip(v, [*v[1:], v[0]], strict=True):
-            c = ax * by - bx * ay
-            a, mx, my = a + c, mx + (ax + bx) * c, my + (ay + by) * c
-        new |= {f"{n}_x": mx / (3.0 * a), f"{n}_y": my / (3.0 * a)}
-    return with_columns(points(spark, sf_dir), new).selectExpr("pt", *(rounded(n, n) for n in new))
+    """Area centroids of the outlines."""
+    return _rings(spark, sf_dir).select("pt", "shape", P.centroid_column(F.col("ring")).alias("c")).selectExpr("pt", "shape", rounded("c.x", "x"), rounded("c.y", "y"))
+
+
+def poly_outline_area(spark, sf_dir):
+    """Areas of the whole outlines: curves and rounded corners as chords."""
+    finite = {n: f for n, f in figures().items() if n != "bar"}
+    return P.outline_columns(points(spark, sf_dir).select("pt", "k", "ang"), finite, "pt").select("pt", "shape", P.area_column(F.col("ring")).alias("a")).selectExpr("pt", "shape", rounded("a", "area"))
 
 
 def poly_transform(spark, sf_dir):
-    """Vertices of a ring moved, and their box."""
-    df = _rings(spark, sf_dir).where("shape = 'star'").withColumn("m", P.moved_column(F.col("ring"), F.col("x"), F.col("y"))).withColumn("b", P.bounds_column(F.col("m")))
-    return df.selectExpr("pt", *(rounded(f"b.{s}", s) for s in ("x0", "y0", "x1", "y1")))
+    """Boxes of a star's ring moved, turned about a point, and scaled from one."""
+    df = _rings(spark, sf_dir).where("shape = 'star'")
+    m = df.withColumns({"m": P.moved_column(F.col("ring"), F.col("x"), F.col("y")), "r": P.rotated_column(F.col("ring"), F.col("k") * 7, 0.3, -0.1), "s": P.scaled_column(F.col("ring"), 0.5 + F.col("k") / 50, 0.1, 0.2)})
+    for c in "mrs":
+        m = m.withColumn(f"{c}b", P.bounds_column(F.col(c)))
+    return m.selectExpr("pt", *(rounded(f"{c}b.{s}", f"{c}_{s}") for c in "mrs" for s in ("x0", "y0", "x1", "y1")))
 
 
 def poly_raster(spark, sf_dir):
@@ -343,141 +360,122 @@ def poly_raster(spark, sf_dir):
     return _rings(spark, sf_dir).select("pt", "shape", P.contains_column(F.col("ring"), F.col("x"), F.col("y")).alias("inside"))
 
 
+def poly_covers(spark, sf_dir):
+    """Nodes of a grid within boxes by row or on their outline; half of the boxes' sides lie on the grid."""
+    b = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CAST(p_size % 4 AS DOUBLE) / 4D AS cx", "CAST(p_partkey % 4 AS DOUBLE) / 4D AS cy", "1D + CAST(p_size % 3 AS DOUBLE) / 2D AS w", "0.5D + CAST(p_partkey % 5 AS DOUBLE) / 4D AS h")
+    corners = [(F.col("cx") + i * F.col("w") / 2, F.col("cy") + j * F.col("h") / 2) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+    b = b.select("id", F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in corners)).alias("ring"))
+    g = b.selectExpr("id", "ring", "explode(sequence(-4, 4)) AS ix").selectExpr("id", "ring", "ix", "explode(sequence(-4, 4)) AS iy")
+    return g.select("id", "ix", "iy", P.covers_column(F.col("ring"), F.col("ix") / 4, F.col("iy") / 4).alias("covered"))
+
+
 def _box_pairs(spark, sf_dir):
-    return table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CAST(p_partkey % 10 AS DOUBLE) + 0.137D AS ax", "CAST(p_partkey % 7 AS DOUBLE) + 0.291D AS ay", "1D + CAST(p_size AS DOUBLE) / 25D AS w", "1D + (p_retailprice - 900D) / 100D AS h", "CAST(p_size % 9 AS DOUBLE) AS bx", "CAST(p_partkey % 5 AS DOUBLE) AS bY")
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CAST(p_partkey % 10 AS DOUBLE) + 0.137D AS ax", "CAST(p_partkey % 7 AS DOUBLE) + 0.291D AS ay", "1D + CAST(p_size AS DOUBLE) / 25D AS w", "1D + (p_retailprice - 900D) / 100D AS h", "CAST(p_size % 9 AS DOUBLE) AS bx", "CAST(p_partkey % 5 AS DOUBLE) AS bY", "CAST(p_partkey % 360 AS DOUBLE) AS ang")
 
 
 def poly_distance(spark, sf_dir):
-    """Distances of two boxes by row; 0 where they touch."""
-    dx = call("greatest", abs(col("ax") - col("bx")) - 0.5 * (col("w") + 1.0), 0.0)
-    dy = call("greatest", abs(col("ay") - col("bY")) - 0.5 * (col("h") + 1.0), 0.0)
-    return with_columns(_box_pairs(spark, sf_dir), {"d": call("sqrt", dx * dx + dy * dy)}).selectExpr("id", rounded("d", "distance"))
+    """Distances of two rectangles by row, one turned; 0 where they touch."""
+    one, two = S.Rectangle((col("ax"), col("ay")), (col("w"), col("h")), ANG), S.Rectangle((col("bx"), col("bY")), (1.0, 1.0))
+    return P.shape_distances(_box_pairs(spark, sf_dir), one, two, "id").selectExpr("id", rounded("distance", "distance"))
 
 
 def poly_boolean_area(spark, sf_dir):
-    """Areas of union, intersection and difference of two boxes by row, through the slab decomposition of regions."""
-
-    def rows(batches):
-        import pandas as pd
-
-        for b in batches:
-            out = []
-            for r in b.itertuples():
-                one, two = S.Rectangle((r.ax, r.ay), (r.w, r.h)), S.Rectangle((r.bx, r.bY), (1.0, 1.0))
-                out.append((r.id, *(P.shape_region(s).area() for s in (one | two, one & two, one - two))))
-            yield pd.DataFrame(out, columns=["id", "u", "i", "d"])
-
-    return spread(_box_pairs(spark, sf_dir), "id").mapInPandas(rows, "id long, u double, i double, d double").selectExpr("id", rounded("u", "union_area", 9), rounded("i", "intersection_area", 9), rounded("d", "difference_area", 9))
+    """Areas of union, intersection and difference of two boxes by row, through the slab decomposition."""
+    one, two = S.Rectangle((col("ax"), col("ay")), (col("w"), col("h"))), S.Rectangle((col("bx"), col("bY")), (1.0, 1.0))
+    return P.scene_areas(_box_pairs(spark, sf_dir), {"u": one | two, "i": one & two, "d": one - two}, "id").selectExpr("id", rounded("u", "union_area", 9), rounded("i", "intersection_area", 9), rounded("d", "difference_area", 9))
 
 
 # ---- cells, metrics, constraints
 
 
 def part_cells(spark, sf_dir) -> DataFrame:
-    """A turned rectangle in the middle of a hexagonal cell, for each part."""
-    return table(spark, sf_dir, "part").selectExpr("p_partkey AS cell_id", "0.5D + CAST(p_size AS DOUBLE) / 25D AS w", "0.4D + (p_retailprice - 900D) / 100D AS h", "CAST(p_partkey % 360 AS DOUBLE) AS ang", "0.1D + CAST(p_partkey % 13 AS DOUBLE) / 10D AS cx", "0.2D + CAST(p_partkey % 11 AS DOUBLE) / 10D AS cy")
+    """A turned rectangle in a hexagonal cell, for each part; sizes and places are off the raster, so that no sample lies on an outline."""
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS cell_id", "0.5071D + CAST(p_size AS DOUBLE) / 25D AS w", "0.4053D + (p_retailprice - 900D) / 100D AS h", "CAST(p_partkey % 360 AS DOUBLE) AS ang", "0.1037D + CAST(p_partkey % 13 AS DOUBLE) / 10D AS cx", "0.2019D + CAST(p_partkey % 11 AS DOUBLE) / 10D AS cy")
 
 
 def part_cell() -> UnitCell:
     return UnitCell(Lattice.hexagonal(4.0), S.Rectangle((col("cx"), col("cy")), (col("w"), col("h")), ANG))
 
 
-def common_copies(cells: DataFrame, cell: UnitCell) -> list[tuple[int, int]]:
-    """Copies that cover the needs of every row, from the extremes of their ranges."""
-    (i0, i1), (j0, j1) = cell.copy_ranges()
-    r = with_columns(cells, {"i0": i0, "i1": i1, "j0": j0, "j1": j1}).agg(F.min("i0"), F.max("i1"), F.min("j0"), F.max("j1")).first()
-    if r[0] is None:
-        return [(0, 0)]
-    return [(i, j) for i in range(int(r[0]), int(r[1]) + 1) for j in range(int(r[2]), int(r[3]) + 1)]
-
-
 def fill_fraction(spark: SparkSession, sf_dir: str, n: int = 64) -> DataFrame:
     """Share of an n by n raster inside the periodic scene, for each cell."""
-    cells, cell = part_cells(spark, sf_dir), part_cell()
-    return fill_fractions(cells, cell, common_copies(cells, cell), n).selectExpr("cell_id", rounded("fill_fraction", "fill_fraction"))
+    return fill_fractions(part_cells(spark, sf_dir), part_cell(), n).selectExpr("cell_id", rounded("fill_fraction", "fill_fraction"))
+
 
+def figure_nodes(spark, sf_dir) -> DataFrame:
+    """Scene nodes of cells of four parts each. All figures are turned rectangles, one plain, the others under a move, a turn or a scaling."""
+    f = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey DIV 4 AS cell_id", "CAST(p_partkey % 4 AS INT) AS o", "2.5137D + 5D * (p_partkey % 2) + 0.12D * (p_partkey % 10 - 4.5D) AS cx", "2.5091D + 5D * (p_partkey % 4 DIV 2) + 0.15D * (p_partkey % 7 - 3) AS cy",
+        "0.5031D + CAST(p_size AS DOUBLE) / 14D AS w", "0.4517D + (p_retailprice - 900D) / 50D AS h", "CAST(p_partkey * 37 % 360 AS DOUBLE) AS ang",
+    )
+    figure = "struct(2 * o + 1 AS node_id, CASE WHEN o > 0 THEN 2 * o END AS parent_id, 'Rectangle' AS type, to_json(struct(CASE WHEN o = 1 THEN array(0D, 0D) ELSE array(cx, cy) END AS center, CASE WHEN o = 3 THEN array(w / 2, h / 2) ELSE array(w, h) END AS size, CASE WHEN o = 2 THEN 0D ELSE ang END AS angle)) AS params)"
+    around = "struct(2 * o AS node_id, CAST(NULL AS INT) AS parent_id, element_at(array('Translate', 'Rotate', 'Scale'), o) AS type, CASE o WHEN 1 THEN to_json(struct(cx AS dx, cy AS dy)) WHEN 2 THEN to_json(struct(ang AS angle, array(cx, cy) AS origin)) ELSE to_json(struct(2D AS scale, array(cx, cy) AS origin)) END AS params)"
+    return f.selectExpr("cell_id", f"explode(CASE WHEN o = 0 THEN array({figure}) ELSE array({figure}, {around}) END) AS n").select("cell_id", "n.*")
 
-def shape_nodes(spark, sf_dir) -> DataFrame:
-    """Boxes of cells as rows: five suppliers' cells each hold the parts of their number."""
-    return table(spark, sf_dir, "part").selectExpr("p_partkey % 100 AS cell_id", "p_partkey AS ord", "CAST(p_partkey % 10 AS DOUBLE) * 2.5D + 0.137D AS cx", "CAST(p_partkey DIV 100 % 8 AS DOUBLE) * 2.5D + 0.291D AS cy", "0.5D + CAST(p_size AS DOUBLE) / 40D AS w", "0.5D + (p_retailprice - 900D) / 100D AS h")
+
+def figure_cells(spark, sf_dir) -> DataFrame:
+    """(cell_id, cell): the scenes of figure_nodes over a lattice of 10 by 10."""
+    return analysis.cells_from_nodes(figure_nodes(spark, sf_dir), Lattice.rectangular(10.0, 10.0))
 
 
 def leaf_metrics(spark, sf_dir):
     """Figures of each cell: number, areas and box sizes in order, narrowest place."""
-    n = shape_nodes(spark, sf_dir)
-    ordered = F.array_sort(F.collect_list(F.struct("ord", F.expr("round(w * h, 6)").alias("a"), F.expr("round(w, 6)").alias("w"), F.expr("round(h, 6)").alias("h"))))
-    m = n.groupBy("cell_id").agg(F.count("*").alias("num_shapes"), F.min(F.least("w", "h")).alias("f"), ordered.alias("l"))
-    text = lambda c: F.array_join(F.transform("l", lambda x: F.format_string("%.6f", x[c])), ",")
-    return m.select("cell_id", "num_shapes", F.expr(rounded("f", "min_feature_size")), text("a").alias("shape_areas"), text("w").alias("widths"), text("h").alias("heights"))
+    m = analysis.analyze(figure_cells(spark, sf_dir), ("num_shapes", "shape_areas", "shape_bbox_sizes", "min_feature_size"))
+    text = lambda c, get: F.array_join(F.transform(c, lambda x: F.format_string("%.6f", F.round(get(x), 6))), ",")
+    return m.select("cell_id", "num_shapes", F.expr(rounded("min_feature_size", "min_feature_size")), text("shape_areas", lambda x: x).alias("shape_areas"), text("shape_bbox_sizes", lambda x: x["w"]).alias("widths"), text("shape_bbox_sizes", lambda x: x["h"]).alias("heights"))
 
 
 def scene_nodes(spark, sf_dir) -> DataFrame:
-    """Scene trees as rows, one for each cell: node 1 is the root, and the children of node n are 2n and 2n + 1."""
-    return table(spark, sf_dir, "part").selectExpr("p_partkey % 100 AS cell_id", "CAST(p_partkey DIV 100 + 1 AS INT) AS node_id").selectExpr("*", "node_id DIV 2 AS parent_id", "CASE WHEN node_id * 2 > 20 THEN 'Rectangle' WHEN (cell_id + node_id) % 5 = 0 THEN 'Difference' WHEN (cell_id + node_id) % 7 = 0 THEN 'Translate' ELSE 'Union' END AS type")
+    """Scene trees as rows, ten parts to a cell: node 1 is the root, and the children of node n are 2n and 2n + 1."""
+    n = table(spark, sf_dir, "part").selectExpr("p_partkey DIV 10 AS cell_id", "CAST(p_partkey % 10 + 1 AS INT) AS node_id")
+    n = n.selectExpr("*", "node_id DIV 2 AS parent_id", "CASE WHEN node_id * 2 > 10 THEN 'Rectangle' WHEN node_id = 5 THEN 'Translate' WHEN (cell_id + node_id) % 5 = 0 THEN 'Difference' WHEN (cell_id + node_id) % 7 = 0 THEN 'Translate' ELSE 'Union' END AS type")
+    return n.selectExpr("*", "CASE type WHEN 'Rectangle' THEN to_json(struct(array(node_id, 0D) AS center, array(0.5D, 0.25D) AS size)) WHEN 'Translate' THEN to_json(struct(0.5D AS dx, 0D AS dy)) END AS params")
 
 
 def leaf_count(spark, sf_dir):
-    """Figures of each scene tree: a walk from the root through unions and transforms; differences stay whole."""
-    scene_nodes(spark, sf_dir).createOrReplaceTempView("scene_nodes")
-    return spark.sql("""
-        WITH RECURSIVE walk(cell_id, node_id, type) AS (
-          SELECT cell_id, node_id, type FROM scene_nodes WHERE node_id = 1
-          UNION ALL
-          SELECT n.cell_id, n.node_id, n.type FROM walk w JOIN scene_nodes n ON n.cell_id = w.cell_id AND n.parent_id = w.node_id WHERE w.type IN ('Union', 'Translate'))
-        SELECT cell_id, count(*) AS leaves FROM walk WHERE type NOT IN ('Union', 'Translate') GROUP BY cell_id""")
-
-
-def box_gaps(spark, sf_dir) -> DataFrame:
-    """Least gap of the boxes of each cell over a 30 by 30 lattice: pairs within a cell and nine shifts, and own images."""
-    n = shape_nodes(spark, sf_dir)
-    a, b = n.select(*(F.col(c).alias(c if c == "cell_id" else f"{c}1") for c in n.columns)), n.select(*(F.col(c).alias(c if c == "cell_id" else f"{c}2") for c in n.columns))
-    pairs = a.join(b, "cell_id").where("ord1 <= ord2")
-    shifts = F.explode(F.array(*(F.struct(F.lit(i * 30.0).alias("sx"), F.lit(j * 30.0).alias("sy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    met = pairs.select("*", shifts.alias("s")).selectExpr("*", "s.sx", "s.sy").where("ord1 < ord2 OR sx <> 0 OR sy <> 0")
-    gap = "sqrt(power(greatest(abs(cx1 - cx2 - sx) - (w1 + w2) / 2D, 0D), 2) + power(greatest(abs(cy1 - cy2 - sy) - (h1 + h2) / 2D, 0D), 2))"
-    return met.groupBy("cell_id").agg(F.min(F.expr(gap)).alias("g"))
+    """Figures of each scene tree, by type: unions and transforms are gone through, differences stay whole."""
+    leaves = analysis.leaf_rows(analysis.cells_from_nodes(scene_nodes(spark, sf_dir), Lattice.rectangular(20.0, 20.0)))
+    return leaves.groupBy("cell_id").agg(F.count("*").alias("leaves"), F.count(F.when(F.col("leaf").contains('"Difference"'), 1)).alias("differences"))
 
 
 def min_gap(spark, sf_dir):
-    return box_gaps(spark, sf_dir).selectExpr("cell_id", rounded("g", "min_gap"))
-
-
-def _metrics(spark, sf_dir) -> DataFrame:
-    n = shape_nodes(spark, sf_dir)
-    m = n.groupBy("cell_id").agg(F.count("*").cast("int").alias("num_shapes"), F.min(F.least("w", "h")).alias("min_feature_size"), (F.sum(F.expr("w * h")) / 900.0).alias("fill_fraction"), F.array_sort(F.collect_list(F.struct("ord", "w", "h"))).alias("l"))
-    m = m.withColumn("shape_bbox_sizes", F.transform("l", lambda x: F.struct(x["w"].alias("w"), x["h"].alias("h")))).drop("l")
-    return m.join(box_gaps(spark, sf_dir).withColumnRenamed("g", "min_gap"), "cell_id")
+    """Least gap between the figures of each cell and their images."""
+    return analysis.analyze(figure_cells(spark, sf_dir), ("min_gap",)).selectExpr("cell_id", rounded("min_gap", "min_gap"))
 
 
 def cell_metrics(spark, sf_dir):
     """Metrics of each cell, bundled."""
-    return _metrics(spark, sf_dir).selectExpr("cell_id", rounded("fill_fraction", "fill_fraction"), "num_shapes", rounded("min_feature_size", "min_feature_size"), rounded("min_gap", "min_gap"))
+    m = analysis.analyze(figure_cells(spark, sf_dir), ("fill_fraction", "num_shapes", "min_feature_size", "min_gap"))
+    return m.selectExpr("cell_id", rounded("fill_fraction", "fill_fraction"), "num_shapes", rounded("min_feature_size", "min_feature_size"), rounded("min_gap", "min_gap"))
 
 
-LIMITS = analysis.Constraints(min_fill=0.02, max_fill=0.04, min_num_shapes=18, max_num_shapes=20, min_feature_size=0.55, min_shape_size=0.6, min_gap=0.7)
+LIMITS = analysis.Constraints(min_fill=0.08, max_fill=0.14, min_num_shapes=4, max_num_shapes=4, min_feature_size=0.6, min_shape_size=0.7, min_gap=1.0)
 
 
 def constraint_check(spark, sf_dir):
     """All failures of each cell, in order."""
-    return analysis.check(_metrics(spark, sf_dir), LIMITS).select("cell_id", F.array_join("failures", "; ").alias("failures"))
+    return analysis.check(analysis.analyze(figure_cells(spark, sf_dir)), LIMITS).select("cell_id", F.array_join("failures", "; ").alias("failures"))
 
 
 def validate_cells(spark, sf_dir):
     """The first failure of each cell."""
-    return analysis.check(_metrics(spark, sf_dir), LIMITS).select("cell_id", "failure")
+    return analysis.check(analysis.analyze(figure_cells(spark, sf_dir)), LIMITS).select("cell_id", "failure")
 
 
 def _prints(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell_id"), F.col("embedding").alias("fp"))
+    """Fingerprints of a cell for each part; many are equal, and others differ by less than the tolerance."""
+    c = table(spark, sf_dir, "part").selectExpr("p_partkey AS cell_id", "0.8D + CAST(p_size % 5 AS DOUBLE) / 10D + 0.0015D * (p_partkey % 3) AS w", "0.6D + 0.0023D * floor(p_retailprice - 900D) AS h")
+    return raster_prints(c, UnitCell(Lattice.rectangular(3.0, 2.0), S.Rectangle((1.5137, 1.0091), (col("w"), col("h")))))
 
 
 def dup_pairs(spark, sf_dir):
-    """Fingerprints within 0.3 of each other in every entry."""
-    return analysis.duplicate_pairs(_prints(spark, sf_dir), 0.3)
+    """Different cells whose fingerprints are within the tolerance, by their least ids, and each copy with the least id of its kind."""
+    return analysis.duplicate_pairs(_prints(spark, sf_dir))
 
 
 def dup_groups(spark, sf_dir):
-    return analysis.duplicate_groups(_prints(spark, sf_dir), 0.3)
+    """Groups of duplicate cells, equal ones included."""
+    return analysis.duplicate_groups(_prints(spark, sf_dir))
 
 
 # ---- generation, files, gradients
@@ -497,11 +495,20 @@ def generate_metrics(spark, sf_dir):
     return m.selectExpr("cell_id", rounded("fill_fraction", "fill_fraction"), "num_shapes", rounded("min_gap", "min_gap"))
 
 
+def generate_valid(spark, sf_dir):
+    """What holds of every generated cell, from its polygons: number and kinds of figures, the gap, and the fill that the batch tells."""
+    cells = generate.generate(spark, CONFIG, Lattice.rectangular(3.0, 3.0))
+    kinds = analysis.leaf_rows(cells).groupBy("cell_id").agg(F.collect_set("type").alias("kinds"))
+    m = analysis.analyze(cells, ("num_shapes", "min_gap", "shape_areas")).join(cells.select("cell_id", "fill", "attempts"), "cell_id").join(kinds, "cell_id")
+    allowed = F.array(*map(F.lit, CONFIG.allowed_shapes))
+    return m.select("cell_id", F.col("num_shapes").between(1, 2).alias("number_ok"), (F.col("min_gap") > 0.02).alias("gap_ok"), (F.size(F.array_except("kinds", allowed)) == 0).alias("kinds_ok"), (F.abs(F.aggregate("shape_areas", F.lit(0.0), lambda a, x: a + x) / 9 - F.col("fill")) < 1e-9).alias("fill_ok"), F.col("attempts").between(1, 20).alias("attempts_ok"))
+
+
 def generator_lattice(spark, sf_dir):
-    """Lattices resized to a length by row: the whole cell, angles kept."""
+    """Lattices resized as the generator does it: the whole cell to a length by row, or each vector to its own."""
     lat = _row_lattice()
-    f = (2.0 + K / 25.0) / call("sqrt", lat.a1[0] * lat.a1[0] + lat.a1[1] * lat.a1[1])
-    new = {"a1x": lat.a1[0] * f, "a1y": lat.a1[1] * f, "a2x": lat.a2[0] * f, "a2y": lat.a2[1] * f}
+    whole, apart = generate.resized(lat, 2.0 + K / 25.0), generate.resized(lat, None, 1.5 + K / 20.0, 3.0)
+    new = {f"{n}{v}{a}": c for n, r in (("w", whole), ("s", apart)) for v, vec in (("1", r.a1), ("2", r.a2)) for a, c in zip("xy", vec, strict=True)}
     return with_columns(points(spark, sf_dir), new).selectExpr("pt", *(rounded(n, n) for n in new))
 
 
@@ -535,7 +542,7 @@ def scene_json_scan(spark, sf_dir):
 
 
 def yaml_roundtrip(spark, sf_dir):
-    """Generated cells written as YAML and parsed again; both forms stand side by side."""
+    """Generated cells written as YAML and parsed again: whether they are the same."""
     from periodica.sources.cells import dump_cells, load_document
 
     def rows(batches):
@@ -546,7 +553,7 @@ def yaml_roundtrip(spark, sf_dir):
             yield pd.DataFrame({"cell_id": b.cell_id, "before": b.cell, "after": [json.dumps(c.to_parametric()) for c in back]})
 
     cells = generate.generate(spark, CONFIG, Lattice.rectangular(3.0, 3.0)).where("cell IS NOT NULL").select("cell_id", "cell")
-    return cells.mapInPandas(rows, "cell_id long, before string, after string").selectExpr("cell_id", "before = after AS same", "after AS cell")
+    return cells.mapInPandas(rows, "cell_id long, before string, after string").selectExpr("cell_id", "before = after AS same")
 
 
 def center_centroid(spark, sf_dir):
@@ -565,27 +572,13 @@ def center_centroid(spark, sf_dir):
 
 def cell_polygon_area(spark, sf_dir):
     """Areas of periodic scenes within their cell: boxes placed anywhere wrap to their own area."""
-
-    def rows(batches):
-        import pandas as pd
-
-        for b in batches:
-            a = [P.cell_region(UnitCell(Lattice.rectangular(4.0, 3.0), S.Rectangle((r.ax, r.ay), (r.w, r.h)))).area() for r in b.itertuples()]
-            yield pd.DataFrame({"id": b.id, "a": a})
-
-    return spread(_box_pairs(spark, sf_dir), "id").mapInPandas(rows, "id long, a double").selectExpr("id", rounded("a", "area"))
+    cell = UnitCell(Lattice.rectangular(4.0, 3.0), S.Rectangle((col("ax"), col("ay")), (col("w"), col("h"))))
+    return P.cell_areas(_box_pairs(spark, sf_dir).select("id", "ax", "ay", "w", "h"), cell, "id").selectExpr("id", rounded("area", "area"))
 
 
 def round_corners_area(spark, sf_dir):
     """Areas of rounded rectangles: the corners lose (4 - pi) r^2, but for the arcs' segments."""
-
-    def rows(batches):
-        import pandas as pd
-
-        for b in batches:
-            yield pd.DataFrame({"id": b.id, "a": [P.shape_region(S.Rectangle((0, 0), (r.w, r.h), 0.0, 0.2)).area() for r in b.itertuples()]})
-
-    return spread(_box_pairs(spark, sf_dir), "id").mapInPandas(rows, "id long, a double").selectExpr("id", rounded("a", "area"))
+    return P.scene_areas(_box_pairs(spark, sf_dir).select("id", "w", "h"), {"area": S.Rectangle((0, 0), (col("w"), col("h")), 0.0, 0.2)}, "id").selectExpr("id", rounded("area", "area"))
 
 
 def grad_sdf_rect(spark, sf_dir):
@@ -605,6 +598,25 @@ def grad_softmask_fill(spark, sf_dir):
     return with_columns(g, {"dm": derivative(m, w)}).groupBy("cell_id").agg(F.avg("dm").alias("g")).selectExpr("cell_id", rounded("g", "d_fill_d_width"))
 
 
+def grad_lattice(spark, sf_dir):
+    """Derivative of the distance to a periodic disc by the length of a lattice vector."""
+    p = col("p")
+    cell = UnitCell(Lattice((p, 0.0), (0.3, 1.1)), S.Stadium((0.31, 0.27), 0.5, 0.5))
+    d = cell.sdf(X, Y, [(i, j) for i in range(-2, 3) for j in range(-2, 3)])
+    df = points(spark, sf_dir).selectExpr("*", "1.2D + k / 100D AS p")
+    return with_columns(df, {"dp": derivative(d, p)}).selectExpr("pt", rounded("dp", "d_sdf_d_length"))
+
+
+def grad_constrained(spark, sf_dir):
+    """Parameters kept in range by smooth maps of raw values, and the derivative of a distance by a raw value through them."""
+    raw = col("raw")
+    w = bounded(raw, 0.2, 1.4)
+    d = S.Bar(0.0, positive(raw)).sdf(X, Y)
+    df = points(spark, sf_dir).selectExpr("*", "k / 5D - 5D AS raw")
+    new = {"w": w, "p": positive(raw), "dw": derivative(w, raw), "dp": derivative(d, raw)}
+    return with_columns(df, new).selectExpr("pt", rounded("w", "bounded"), rounded("p", "positive"), rounded("dw", "d_bounded"), rounded("dp", "d_sdf"))
+
+
 def queries() -> dict:
     q = {f"sdf_{n}": _sdf(n) for n in figures()}
     q |= {f"csg_{k.__name__.lower()}": _csg(k, False) for k in (S.Union, S.Intersection, S.Difference)}
@@ -612,10 +624,8 @@ def queries() -> dict:
     q |= {"tf_translate": _tf(lambda r: r.translate(0.3, -0.4)), "tf_rotate": _tf(lambda r: r.rotate(ANG, (0.2, 0.3))), "tf_scale": _tf(lambda r: r.scale(0.5 + K / 50.0, (0.1, 0.2)))}
     plain = (
         bounds_all, min_feature_size, validate_shapes, project_params, csg_union_many, csg_setop_equivalence, tf_feature_size, tf_bounds, lattice_area, lattice_roundtrip, lattice_offset, neighbor_offsets, grid_fractional, grid_cartesian,
-        fold_points, copy_ranges, piece_ranges, periodic_sdf_rect, periodic_sdf_hex, periodic_sdf_far, mask_hard, mask_soft, extent, center_bbox, center_centroid, poly_vertices, poly_area, poly_centroid, poly_transform, poly_raster, poly_distance,
-        poly_boolean_area, cell_polygon_area, round_corners_area, fill_fraction, leaf_count, leaf_metrics, min_gap, cell_metrics, constraint_check, validate_cells, dup_pairs, dup_groups, generate_cells, generate_metrics, generator_lattice, report_rollup, report_merge, scene_json_scan, yaml_roundtrip, grad_sdf_rect, grad_softmask_fill,
+        fold_points, copy_ranges, piece_ranges, periodic_sdf_rect, periodic_sdf_hex, periodic_sdf_far, mask_hard, mask_soft, extent, center_bbox, center_centroid, poly_vertices, poly_area, poly_centroid, poly_outline_area, poly_transform, poly_raster, poly_covers, poly_distance,
+        poly_boolean_area, cell_polygon_area, round_corners_area, fill_fraction, leaf_count, leaf_metrics, min_gap, cell_metrics, constraint_check, validate_cells, dup_pairs, dup_groups, generate_cells, generate_metrics, generate_valid, generator_lattice, report_rollup, report_merge, scene_json_scan, yaml_roundtrip, grad_sdf_rect, grad_softmask_fill, grad_lattice, grad_constrained,
     )
     q |= {f.__name__: f for f in plain}
     return q | {"rasterize": raster, "rasterize_cartesian": raster_cartesian, "boundary_points": boundary}
-
-

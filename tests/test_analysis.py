@@ -89,6 +89,89 @@ def test_duplicate_pairs_equal_brute_force(spark):
     assert {tuple(r) for r in A.duplicate_pairs(df, 0.2).collect()} == want
 
 
+def test_equal_cells_make_no_pairs(spark):
+    """A print that most rows share is one class, however many have it."""
+    rows = [(i, [0.5, 0.25]) for i in range(400)] + [(400, [0.5004, 0.25]), (401, [9.0, 0.0]), (402, None), (403, [])]
+    df = spark.createDataFrame(rows, "cell_id long, fp array<float>")
+    assert sorted(tuple(r) for r in A.duplicate_pairs(df).collect()) == [(0, i) for i in range(1, 401)]
+    assert sorted(tuple(r) for r in A.duplicate_groups(df).collect()) == [(0, i) for i in range(401)]
+    assert A.duplicate_groups(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_structure_equal_single_cells(spark):
+    rng = np.random.default_rng(3)
+
+    def cell(i):
+        u = lambda a, b: float(rng.uniform(a, b))
+        scene = S.Rectangle((u(0, 5), u(0, 5)), (u(0.3, 2), u(0.3, 1)), u(0, 360), 0.05 * (i % 2)) | S.Ellipse((u(0, 5), u(0, 5)), (1.2, 0.6), u(0, 90)).translate(u(0, 1), 0.5) | S.Star((u(0, 5), u(0, 5)), 5, 0.8, 0.4).scale(u(0.5, 1))
+        scene = scene | S.Bar(u(0, 4), 0.2, "x") if i % 3 else scene | (S.Rectangle((1, 1), (1, 1)) - S.Rectangle((1, 1), (0.5, 2)))
+        return UnitCell(Lattice((u(4, 6), 0.2), (0.4, u(4, 6))), scene)
+
+    cells = [cell(i) for i in range(12)]
+    df = spark.createDataFrame([(i, json.dumps(c.to_parametric())) for i, c in enumerate(cells)] + [(99, None)], "cell_id long, cell string")
+    got = {r.cell_id: r for r in A.analyze(df).collect()}
+    assert got[99].fill_fraction is None and got[99].num_shapes is None
+    for i, c in enumerate(cells):
+        want = A.metrics(c)
+        assert (got[i].num_shapes, got[i].fill_fraction) == (want["num_shapes"], want["fill_fraction"])
+        np.testing.assert_allclose(got[i].shape_areas, want["shape_areas"], atol=1e-7)
+        np.testing.assert_allclose([tuple(x) for x in got[i].shape_bbox_sizes], [tuple(x.values()) for x in want["shape_bbox_sizes"]], atol=1e-9)
+        assert math.isclose(got[i].min_feature_size or 0, want["min_feature_size"] or 0) and math.isclose(got[i].min_gap, want["min_gap"], abs_tol=1e-9)
+
+
+def test_areas_by_row_equal_regions(spark):
+    from periodica.ir import col
+
+    rng = np.random.default_rng(0)
+    n = 60
+    env = {k: rng.uniform(0.2, 2, n) for k in "wh"} | {"ax": rng.uniform(-1, 1, n), "an": rng.uniform(0, 360, n)}
+    a, b = S.Rectangle((col("ax"), 0.1), (col("w"), col("h")), col("an"), 0.05), S.Star((0.3, 0.2), 5, 1.0, 0.45, col("an"), 0.02, 0.03)
+    for scene in (a | b, a & b, (a - b) | S.Ellipse((0, 0), (0.5, 0.3)).rotate(20.0)):
+        rings: list = []
+        f = P.scene_rows(scene, env, n, rings)
+        np.testing.assert_allclose(P.area_rows(rings, f), [P.compose([r[i] for r in rings], f).area() for i in range(n)], atol=1e-12)
+
+
+def test_nodes_to_cells(spark):
+    rows = [(1, 1, None, "Union", None), (1, 2, 1, "Translate", '{"dx": 1.0, "dy": 0.0}'), (1, 3, 2, "Rectangle", '{"center": [0, 0], "size": [1, 1]}'), (1, 4, 2, "Rectangle", '{"center": [0, 3], "size": [1, 2]}'), (1, 5, 1, "Difference", None), (1, 6, 5, "Ellipse", '{"center": [0, 0], "axes": [1, 1]}'), (1, 7, 5, "Bar", '{"offset": 0.1, "width": 0.1}'), (2, 9, 77, "Bar", '{"width": 0.2}')]
+    nodes = spark.createDataFrame(rows, "cell_id long, node_id int, parent_id int, type string, params string")
+    cells = A.cells_from_nodes(nodes, Lattice.rectangular(5, 5))
+    scene = S.Translate(S.Rectangle((0, 0), (1, 1)) | S.Rectangle((0, 3), (1, 2)), 1.0, 0.0) | (S.Ellipse((0, 0), (1, 1)) - S.Bar(0.1, 0.1))
+    got = {r.cell_id: UnitCell.from_parametric(json.loads(r.cell)).scene.to_parametric() for r in cells.collect()}
+    assert got == {1: scene.to_parametric(), 2: S.Bar(0.0, 0.2).to_parametric()}
+    assert sorted((r.cell_id, r.ord, r.type) for r in A.leaf_rows(cells).collect()) == [(1, 0, "Translate"), (1, 1, "Translate"), (1, 2, "Difference"), (2, 0, "Bar")]
+
+
+def test_union_of_many_figures(spark):
+    from periodica.ir import col, evaluate
+    from periodica.operators.nearest import union_distances
+
+    rng = np.random.default_rng(1)
+    figs = [(i, float(x), float(y), float(w)) for i, (x, y, w) in enumerate(zip(*rng.uniform(-9, 9, (2, 900)), rng.uniform(0.01, 4, 900), strict=True))]
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-12, 12, (150, 2)))]
+    shape = S.Rectangle((col("cx"), col("cy")), (col("w"), 0.3))
+    points, figures = spark.createDataFrame(pts, "pt long, x double, y double"), spark.createDataFrame(figs, "f long, cx double, cy double, w double")
+    got = {r.pt: r.sdf for r in union_distances(points, figures, shape).collect()}
+    env = {k: np.array([f[j] for f in figs]) for j, k in ((1, "cx"), (2, "cy"), (3, "w"))}
+    for i, x, y in pts:
+        assert abs(got[i] - evaluate([shape.sdf(x, y)], env)[0].min()) < 1e-12
+    assert {r.sdf for r in union_distances(points, figures.limit(0), shape).collect()} == {None}
+
+
+def test_own_attempt(spark):
+    """The hook for generators of one's own."""
+
+    def squares(config, lattice, rng):
+        side = float(rng.uniform(-0.2, 0.5))
+        if side <= 0.1:
+            raise RuntimeError("too small")
+        return UnitCell(lattice, S.Rectangle((1, 1), (side, side)))
+
+    rows = G.generate(spark, G.Config(seed=3, target_count=8, max_tries_per_cell=50), Lattice.rectangular(3, 3), attempt_one=squares).collect()
+    assert all(json.loads(r.cell)["scene"]["type"] == "Rectangle" for r in rows)
+    assert sum(r.reasons.get("too small", 0) for r in rows) == sum(r.attempts - 1 for r in rows) > 0
+
+
 def test_generation_is_reproducible(spark):
     cfg = G.Config(seed=3, target_count=6, allowed_shapes=("Rectangle", "Ellipse"), min_gap=0.05)
     one = G.generate(spark, cfg, Lattice.rectangular(3, 3)).orderBy("cell_id").collect()
