@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,62 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from periodica.stages import drop_stage, new_dir, write_stage
+
+__all__ = ["ascii_lower", "crc_fold", "drop_stage", "likely_in", "new_dir", "release_memory", "table", "text_batches", "tidy", "write_stage"]
+
 #: Characters between words, as the contracts fix them: space and U+0009 to U+000D.
 SPACE = "\\x20\\x09-\\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_root: list[str] = []
-
-
-def work_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not _own_root:
-        _own_root.append("file://" + tempfile.mkdtemp(prefix="periodica-"))
-    return _own_root[0]
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; removed when the driver ends."""
-    path = f"{work_root(spark)}/periodica/{name}-{uuid.uuid4().hex}"
-    atexit.register(_quiet_remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jpath, fs = _hadoop_path(spark, path)
-    fs.delete(jpath, True)
-
-
-def _quiet_remove(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the session may have ended already; the folder is temporary
-        pass
-
-
-def write_stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._periodica_path = path
-    return out
-
-
-def drop_stage(df: DataFrame) -> None:
-    """Delete what write_stage wrote, once nothing reads it any more."""
-    remove(df.sparkSession, df._periodica_path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

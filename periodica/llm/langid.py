@@ -1,11 +1,15 @@
 """Language identification by a linear-chain conditional random field over the words of a text.
 
 Every word has a language as its hidden label. Emissions are log-linear in hashed features: all character
-n-grams of the padded word (so affixes appear as n-grams that touch its boundary), longer prefixes and
-suffixes, and a lexicon entry for the whole word. Transitions between labels are learned weights. Both are
-trained by gradient ascent on the conditional likelihood, with posteriors from forward-backward; training
-sequences mix stretches of different languages, as code-switched text does. A document's language is the one
-with the highest mean posterior over its words, and that mean is the score.
+n-grams of the padded word, its prefixes and suffixes of four and five letters, and a lexicon entry for the whole
+word. Transitions between labels are learned weights. Both are trained by gradient ascent on the conditional
+likelihood: observed less expected features and label pairs, with word and pair marginals from forward-backward.
+Training sequences mix stretches of different languages, as code-switched text does. A document's language is
+the one with the highest mean posterior over its words, and that mean is the score.
+
+The model is fitted on a bounded sample of labelled rows: pieces of up to PIECE_CHARS characters, cut anywhere
+in the whole texts of at most DOCS_PER_LANG documents of each language, PIECES_PER_LANG of them at most. Any
+number of languages is learned; a language costs 256 kB of the model.
 
 Texts are labelled whole: forward-backward runs over the full word sequence of each document, in batches whose
 documents step forward together.
@@ -21,11 +25,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from periodica.llm.common import text_batches, tidy
+from periodica.llm.tokens import ragged_gather
 
-#: Bounds of the training sample: documents of each language, languages, and words used of all of them.
-DOCS_PER_LANG, MOST_LANGS, MOST_WORDS = 150, 64, 200_000
+#: Bounds of the training sample for each language, which has no other: documents, pieces of their texts, characters of a piece.
+DOCS_PER_LANG, PIECES_PER_LANG, PIECE_CHARS = 150, 700, 400
+#: Letters of the longest prefixes and suffixes; shorter ones than four are n-grams that touch the word's boundary.
+AFFIXES = (4, 5)
 BUCKETS = 1 << 16
 SEGMENT = 48
 WORD = regex.compile(r"\p{L}+")
@@ -61,6 +69,14 @@ def features(words: list[str]) -> np.ndarray:
         ids = _finish(h)
         ids[(np.arange(m) + n)[None, :] > (lengths + 2)[:, None]] = BUCKETS
         out.append(ids)
+    # prefixes and suffixes, beyond those that the n-grams at the boundary give
+    for n in AFFIXES:
+        for kind, at in ((0x51ED270B, np.zeros(len(words), np.int64)), (0x2545F491, lengths - n)):
+            h = np.full(len(words), kind + n, np.uint32)
+            for k in range(n):
+                h = (h ^ np.take_along_axis(c, np.clip(at + k, 0, width - 1)[:, None], 1)[:, 0]) * _P[k % 5]
+                h ^= h >> np.uint32(13)
+            out.append(np.where(lengths > n, _finish(h), BUCKETS)[:, None].astype(np.uint32))
     # the whole word: its lexicon entry
     h = np.full(len(words), 0x811C9DC5, np.uint32)
     for k in range(width):
@@ -95,9 +111,10 @@ class Model:
         return out
 
 
-def forward_backward(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+def forward_backward(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False):
     """Posteriors (like emit) of sequences that lie one after another in emit; lengths must be positive.
 
+    With `pairs` also the (K, K) sum of all pair marginals: how often each label is expected to follow each other one.
     Sequences are ordered by falling length and step together, so each step is one small matrix product.
     """
     order = np.argsort(-lengths, kind="stable")
@@ -120,29 +137,52 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndar
         a = (a[:m] @ trans) * e[at[t] : at[t] + m]
         a /= a.sum(axis=1, keepdims=True)
         alpha[at[t] : at[t] + m] = a
+    expected = np.zeros((e.shape[1], e.shape[1]))
     for t in range(steps - 2, -1, -1):
         m, nxt = active[t + 1], slice(at[t + 1], at[t + 1] + active[t + 1])
-        b = (e[nxt] * beta[nxt]) @ trans.T
+        w = e[nxt] * beta[nxt]
+        b = w @ trans.T
         beta[at[t] : at[t] + m] = b / b.sum(axis=1, keepdims=True)
+        if pairs:
+            # a pair's marginal is alpha[t] * transition * emission[t + 1] * beta[t + 1], over its sum
+            own = alpha[at[t] : at[t] + m]
+            expected += (own / (own * b).sum(axis=1, keepdims=True)).T @ w * trans
     post = alpha * beta
     post /= post.sum(axis=1, keepdims=True)
     out = np.empty_like(post)
     out[place] = post
-    return out
+    return (out, expected) if pairs else out
+
+
+def _sums(group: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """(n, K) sums of the rows of each group."""
+    return np.stack([np.bincount(group, rows[:, j], n) for j in range(rows.shape[1])], axis=1).astype(np.float32)
+
+
+def gradients(emit: np.ndarray, gold: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the log-likelihood of the labels `gold` by the emissions and by the transitions."""
+    post, expected = forward_backward(emit, lengths, transitions, pairs=True)
+    by_emit = -post
+    by_emit[np.arange(len(gold)), gold] += 1
+    inner = np.ones(len(gold), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    now = np.flatnonzero(inner)
+    seen = np.zeros_like(expected)
+    np.add.at(seen, (gold[now], gold[now + 1]), 1)
+    return by_emit, seen - expected
 
 
 def fit(texts: list[str], labels: list[str], epochs: int = 4, seed: int = 7) -> Model:
     """A model from labelled texts; every word takes its text's label."""
     langs = sorted(set(labels))
     k, rng = len(langs), np.random.default_rng(seed)
+    number = {lang: i for i, lang in enumerate(langs)}
     runs: list[tuple[list[str], int]] = []  # stretches of 4 to SEGMENT words
-    left = {x: MOST_WORDS // max(k, 1) for x in langs}
     for t, lab in zip(texts, labels, strict=True):
-        w = WORD.findall(t.lower())[: left[lab]]
-        left[lab] -= len(w)
+        w = WORD.findall(t.lower())
         while w:
             n = int(rng.integers(4, SEGMENT + 1))
-            runs.append((w[:n], langs.index(lab)))
+            runs.append((w[:n], number[lab]))
             w = w[n:]
     model = Model(langs, np.zeros((BUCKETS + 1, k), np.float32), np.zeros((k, k), np.float32))
     if not runs or k == 1:
@@ -155,10 +195,8 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, seed: int = 7) ->
         f = features(part)
         for i, row in zip(idx, f, strict=True):
             feats[i] = row[row < BUCKETS]
-    width = max(len(f) for f in feats)
-    table = np.full((len(words), width), BUCKETS, np.int32)
-    for i, f in enumerate(feats):
-        table[i, : len(f)] = f
+    sizes = np.array([len(f) for f in feats])
+    starts, flat = np.cumsum(sizes) - sizes, np.concatenate(feats).astype(np.int64)
     g2, g2t = np.full_like(model.weights, 1e-2), np.full_like(model.transitions, 1e-2)
     for _ in range(epochs):
         order = rng.permutation(len(seqs))
@@ -172,51 +210,44 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, seed: int = 7) ->
             ids, gold = np.concatenate([j[0] for j in joined]), np.concatenate([j[1] for j in joined])
             lengths = np.array([len(j[0]) for j in joined])
             uniq, inv = np.unique(ids, return_inverse=True)
-            emit = model.weights[table[uniq]].sum(axis=1)[inv]
-            post = forward_backward(emit, lengths, model.transitions)
-            grad = -post
-            grad[np.arange(len(gold)), gold] += 1
-            per_word = np.zeros((len(uniq), k), np.float32)
-            np.add.at(per_word, inv, grad)
-            g = np.zeros_like(model.weights)
-            np.add.at(g, table[uniq].ravel(), np.repeat(per_word, width, axis=0))
-            g[BUCKETS] = 0
-            g = g / len(ids) - 1e-7 * model.weights
-            g2 += g * g * 100
-            model.weights += 0.5 * g / np.sqrt(g2)
-            # transitions: expected pairs are taken as products of neighbouring posteriors
-            inner = np.ones(len(ids), bool)
-            inner[np.cumsum(lengths) - 1] = False
-            now = np.flatnonzero(inner)
-            gt = np.zeros((k, k), np.float32)
-            np.add.at(gt, (gold[now], gold[now + 1]), 1)
-            pair = post[now][:, :, None] * np.exp(model.transitions)[None] * post[now + 1][:, None, :]
-            gt -= (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            gt /= len(ids)
+            own = ragged_gather(flat, starts[uniq], sizes[uniq])  # feature buckets of the batch's words, one after another
+            ends = np.cumsum(sizes[uniq]) - sizes[uniq]
+            emit = np.add.reduceat(model.weights[own], ends, axis=0)[inv]
+            grad, gt = gradients(emit, gold, lengths, model.transitions)
+            # only buckets that the batch has a part in are moved
+            used, slot = np.unique(own, return_inverse=True)
+            g = _sums(slot, np.repeat(_sums(inv, grad, len(uniq)), sizes[uniq], axis=0), len(used))
+            g = g / len(ids) - 1e-7 * model.weights[used]
+            g2[used] += g * g * 100
+            model.weights[used] += 0.5 * g / np.sqrt(g2[used])
+            gt = (gt / len(ids)).astype(np.float32)
             g2t += gt * gt * 100
             model.transitions += 0.3 * gt / np.sqrt(g2t)
     return model
 
 
-def fit_on(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
-    """Fit on at most docs_per_lang documents of each language (the least by a hash of doc_id), for MOST_LANGS languages at most.
+def fit_on(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, pieces_per_lang: int = PIECES_PER_LANG) -> Model:
+    """Fit on pieces of at most docs_per_lang documents of each language (the least by a hash of doc_id), pieces_per_lang of them at most (by another hash).
 
-    Only text and lang of rows with both are used. Without such rows the model knows no language.
+    Only text and lang of rows with both are used; any number of languages is learned. Pieces are cut by characters
+    and lose the word that a cut goes through, but for pieces that are one word. Repeated rows count as one document
+    each. Without such rows, or in an empty table, the model knows no language.
     """
-    labelled = docs.where("text is not null and lang is not null")
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
-    if not counts:
+    labelled = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    # a hash range that holds about twice the wanted number of a language's documents, then the least hashes of it
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
+    near = labelled.join(F.broadcast(sizes.where(f"n > {2 * docs_per_lang}")), "lang", "left").where(h < F.coalesce(F.lit(2.0 * docs_per_lang) / F.col("n"), F.lit(2.0)))
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("r") <= docs_per_lang)
+    cut = first.select("lang", "r", "text", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.char_length("text"), F.lit(1)) - 1) / PIECE_CHARS).cast("int"))).alias("p"))
+    piece = F.substring("text", F.col("p") * PIECE_CHARS + 1, F.lit(PIECE_CHARS))
+    cut = cut.select("lang", "r", "p", F.when(F.col("p") > 0, F.regexp_replace(piece, r"^\S+(?=\s)", "")).otherwise(piece).alias("piece"), (F.char_length("text") > (F.col("p") + 1) * PIECE_CHARS).alias("goes_on"))
+    cut = cut.select("lang", "r", "p", F.when(F.col("goes_on"), F.regexp_replace("piece", r"(?<=\s)\S+$", "")).otherwise(F.col("piece")).alias("piece"))
+    some = cut.withColumn("o", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("r", "p"), "r", "p"))).where(F.col("o") <= pieces_per_lang)
+    rows = sorted(some.select("lang", "o", "piece").collect())
+    if not rows:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros((0, 0), np.float32))
-    # a hash range that holds about twice the wanted number of a language's documents
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2.0 * docs_per_lang / n)))])
-    near = labelled.where(F.col("lang").isin(list(counts)))
-    near = near.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0) < share[F.col("lang")]).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    rows = near.collect()
-    by: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.h)):
-        if len(by.setdefault(r.lang, [])) < docs_per_lang:
-            by[r.lang].append(r.text)
-    return fit([t for x in by.values() for t in x], [lang for lang, x in by.items() for _ in x])
+    return fit([r.piece for r in rows], [r.lang for r in rows])
 
 
 def label(model: Model, texts: list[str | None], cache: dict[str, int], emits: np.ndarray) -> tuple[list[str], list[float], np.ndarray]:
@@ -263,7 +294,7 @@ def _predict(model: Model, most_words: int = 300_000):
     return run
 
 
-def _determined(model: Model):
+def _determined(model: Model, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         emits = np.empty((0, len(model.langs)), np.float32)
@@ -272,22 +303,41 @@ def _determined(model: Model):
             for _, texts in text_batches(iter([b]), most=3_000_000):
                 if len(cache) > 200_000:
                     cache, emits = {}, emits[:0]
-                if model.langs:  # by the score, as a learned label may be `und` too
-                    _, scores, emits = label(model, texts, cache, emits)
-                    kept = [x > 0 for x in scores]
+                part, at = b.slice(at, len(texts)), at + len(texts)
+                if model.langs:
+                    langs, scores, emits = label(model, texts, cache, emits)
+                    kept = [x > 0 and x >= least - 1e-6 for x in scores]
+                    lang = part.schema.get_field_index("lang")
+                    if lang >= 0:
+                        known = [old if old is not None else new for old, new in zip(part.column(lang).to_pylist(), langs, strict=True)]
+                        part = part.set_column(lang, part.schema.field(lang), pa.array(known, part.schema.field(lang).type))
                 else:
                     kept = [bool(t and WORD.search(t)) for t in texts]
-                yield b.slice(at, len(texts)).filter(pa.array(kept, pa.bool_()))
-                at += len(texts)
+                yield part.filter(pa.array(kept, pa.bool_()))
 
     return run
 
 
-def keep_determined(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows, with all their columns, whose text is neither null nor without letters; whether or not the model knows a language."""
-    return docs.mapInArrow(tidy(_determined(model)), docs.schema)
+#: What a text's language must have of its words' posteriors, on average, for the language to count as determined.
+LEAST_SCORE = 0.5
+
+
+def keep_determined(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows, with all their columns, whose language is determined; a null `lang` becomes the predicted one.
+
+    A text is rejected if it is null or has no letter, or if its best language has less than least_score of its words,
+    as in strings of symbols and codes and in text mixed of several languages. With one or two languages nothing falls
+    below a half; a model without languages keeps every text with letters and sets no language. Repeated rows are
+    judged alike, a very long text as a whole; an empty table gives an empty result.
+    """
+    return docs.mapInArrow(tidy(_determined(model, least_score)), docs.schema)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score for each row. Texts that are null or have no letter give `und` with score 0; so does a model without languages."""
+    """doc_id, lang_pred, score for each row, null and repeated keys included; other columns are ignored, whatever their names.
+
+    Texts that are null or have no letter give `und` with score 0; so does a model without languages. Of languages with
+    equal posteriors the first by name is taken. Texts are labelled whole, however long; an empty table gives an empty
+    result.
+    """
     return docs.select("doc_id", "text").mapInArrow(tidy(_predict(model)), "doc_id long, lang_pred string, score double")

@@ -4,12 +4,18 @@ The probability of a word is a mixture of maximum-likelihood estimates: bigram,
 weights depend on the frequency bucket of the context, and are learned by expectation-maximisation on deleted
 counts: each training occurrence is scored with itself left out of all counts.
 
-Counts cover the whole corpus and never come together in one place. Documents are cut into chunks of bounded
-size. A chunk sends its distinct n-grams, as sorted 64-bit hashes with its training counts, to shards by hash
-range; a shard adds up the counts of all chunks and answers each chunk with the totals of the n-grams that it
-asked for. Each chunk then holds all counts that its texts need. A key is sent once by a chunk however often it
-occurs there, so very frequent words and word pairs weigh no more than others; the number of shards follows the
-number of keys. What reaches the driver is a histogram of fixed size for the mixture weights.
+The weights are learned on a histogram: occurrences whose context falls in one bucket and whose estimates fall in
+the same half-octave bins are taken together, with the mean of their estimates. That makes its size fixed, whatever
+the corpus; the estimates that a text is scored with are exact.
+
+Counts cover the whole corpus and never come together in one place. Documents are cut into chunks of bounded size.
+A chunk sends its distinct n-grams, as sorted 64-bit hashes with its training counts, up a tree: a node of a level
+merges the lists that a group of the nodes below has for one range of hashes, and sends the merged list on, cut into
+smaller ranges, to fewer groups. At the top one node for each range adds up the whole corpus. Totals go the same way
+down, to those who asked. Each chunk then holds all counts that its texts need. A node gets as many rows as it has
+nodes below, FAN at most, and about as many keys as a chunk has, so rows grow with the chunks times the levels, one
+level for each power of FAN. A key is sent once by a chunk however often it occurs there, so very frequent words and
+word pairs weigh no more than others. What reaches the driver is the histogram.
 """
 
 from __future__ import annotations
@@ -28,8 +34,8 @@ from pyspark.sql import functions as F
 from periodica.llm.common import drop_stage, text_batches, tidy, write_stage
 from periodica.llm.shingles import mix
 
-#: Characters of text in a chunk, and keys that a shard gets from all chunks, at most on average.
-CHUNK_CHARS, SHARD_KEYS = 10_000_000, 3_000_000
+#: Characters of text in a chunk, and nodes that a node of the tree has below it, at most.
+CHUNK_CHARS, FAN = 10_000_000, 256
 #: Context buckets: 0 for contexts never seen, else 1 + floor(log2(count)), this many at most.
 BUCKETS = 20
 #: Half-octave bins of an estimate in the histogram; bin 0 is the estimate 0.
@@ -100,10 +106,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, place = np.unique(h, return_inverse=True)
         c = Chunk(np.array(ids, np.int64), np.array([len(t) for t in toks], np.int64), np.array(train, bool), words, place[np.concatenate(toks)])
         out = pa.RecordBatch.from_arrays([
-            pa.array([part << 24 | made], pa.int64()), pa.array([len(words) + len(c.tokens)], pa.int64()), pa.array([int(c.lengths[c.train].sum())], pa.int64()),
+            pa.array([part << 24 | made], pa.int64()), pa.array([int(c.lengths[c.train].sum())], pa.int64()),
             pa.array([c.doc_ids.tobytes()], pa.binary()), pa.array([pack(c.lengths)], pa.binary()), pa.array([c.train.tobytes()], pa.binary()),
             pa.array([pack_sorted(c.words)], pa.binary()), pa.array([pack(c.tokens.astype(np.uint32))], pa.binary()),
-        ], names=["chunk", "n_keys", "train_tokens", "doc_ids", "lengths", "train", "words", "tokens"])
+        ], names=["chunk", "train_tokens", "doc_ids", "lengths", "train", "words", "tokens"])
         made += 1
         return out
 
@@ -131,7 +137,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-_CHUNKS = "chunk long, n_keys long, train_tokens long, doc_ids binary, lengths binary, train binary, words binary, tokens binary"
+_CHUNKS = "chunk long, train_tokens long, doc_ids binary, lengths binary, train binary, words binary, tokens binary"
 
 
 def _chunk_of(batch, i: int = 0) -> Chunk:
@@ -139,58 +145,146 @@ def _chunk_of(batch, i: int = 0) -> Chunk:
     return Chunk(np.frombuffer(get("doc_ids"), np.int64), unpack(get("lengths"), np.int64), np.frombuffer(get("train"), bool), unpack_sorted(get("words")), unpack(get("tokens"), np.uint32).astype(np.int64))
 
 
-def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's keys begin, in sorted keys, and their end; shards are equal ranges of the hash."""
-    bounds = np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
+@dataclass(frozen=True)
+class Tree:
+    """`levels` of nodes over chunks: a node of level l is one of fan**(levels - l) groups and one of fan**l ranges of hashes."""
 
+    levels: int
+    fan: int
+
+    @classmethod
+    def over(cls, chunks: int, most: int) -> Tree:
+        levels = 1
+        while most**levels < chunks:
+            levels += 1
+        fan = 1
+        while fan**levels < chunks:
+            fan += 1
+        return cls(levels, fan)
+
+    def group_of(self, chunk: int) -> int:
+        """The group of a chunk at level 1, by its hash."""
+        h = int(mix(np.array([chunk], np.uint64) + np.uint64(0x9E3779B97F4A7C15))[0])
+        return h * self.fan ** (self.levels - 1) >> 64
+
+    def cuts(self, keys: np.ndarray, level: int, first: int) -> np.ndarray:
+        """Where the ranges first, ..., first + fan - 1 of a level begin in sorted keys of theirs, and where the last ends."""
+        n = self.fan**level
+        bounds = np.array([-(-(i << 64) // n) for i in range(first + 1, first + self.fan)], np.uint64)
+        return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)])).astype(np.int64)
+
+
+_ASKED = "node long, child long, words binary, words_n binary, pairs binary, pairs_n binary, starts long"
+_ANSWERS = "child long, part long, words_n binary, pairs_n binary, vocabulary long, starts long"
+
+
+def _sent(tree: Tree, level: int, group: int, first: int, child: int, words, words_n, pairs, pairs_n, starts: int) -> Iterator[list]:
+    """Rows to the nodes of `level` in `group`: the keys of each range from `first` on, but for empty ones. starts goes with the first row."""
+    wc, pc = tree.cuts(words, level, first), tree.cuts(pairs, level, first)
+    for i in range(tree.fan):
+        w, p = slice(wc[i], wc[i + 1]), slice(pc[i], pc[i + 1])
+        if w.stop > w.start or p.stop > p.start:
+            yield [group * tree.fan**level + first + i, child, pack_sorted(words[w]), pack(words_n[w]), pack_sorted(pairs[p]), pack(pairs_n[p]), starts]
+            starts = 0
+
+
+def _asked_batch(rows: list[list]) -> dict:
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+    return {c.split()[0]: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(zip(_ASKED.split(", "), kinds, strict=True))}
+
+
+def _ask(tree: Tree):
+    """What each chunk sends to the first level."""
 
-def _ask(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                c = _chunk_of(b, i)
+                c, chunk = _chunk_of(b, i), b.column("chunk")[i].as_py()
                 train = c.in_training()
                 pairs, which = c.pairs()
-                words_n = np.bincount(c.tokens[train], minlength=len(c.words)).astype(np.uint32)
-                pairs_n = np.bincount(which[train], minlength=len(pairs)).astype(np.uint32)
-                first_n = int(c.train.sum())  # how often a document begins
-                wc, pc = _cuts(c.words, shards), _cuts(pairs, shards)
-                chunk = b.column("chunk")[i].as_py()
-                for s in range(shards):
-                    w, p = slice(wc[s], wc[s + 1]), slice(pc[s], pc[s + 1])
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([s], pa.int32()), pa.array([chunk], pa.int64()), pa.array([pack_sorted(c.words[w])], pa.binary()), pa.array([pack(words_n[w])], pa.binary()),
-                        pa.array([pack_sorted(pairs[p])], pa.binary()), pa.array([pack(pairs_n[p])], pa.binary()), pa.array([first_n if s == 0 else 0], pa.int64()),
-                    ], names=["shard", "chunk", "words", "words_n", "pairs", "pairs_n", "starts"])
+                words_n = np.bincount(c.tokens[train], minlength=len(c.words)).astype(np.uint64)
+                pairs_n = np.bincount(which[train], minlength=len(pairs)).astype(np.uint64)
+                for row in _sent(tree, 1, tree.group_of(chunk), 0, chunk, c.words, words_n, pairs, pairs_n, int(c.train.sum())):
+                    yield pa.RecordBatch.from_pydict(_asked_batch([row]))
+
+    return run
+
+
+def _merged(t: pa.Table, kind: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(keys of each child, all of them sorted, their total counts)."""
+    lists = [unpack_sorted(x) for x in t.column(kind).to_pylist()]
+    counts = np.concatenate([unpack(x, np.uint64) for x in t.column(f"{kind}_n").to_pylist()])
+    keys, inv = np.unique(np.concatenate(lists), return_inverse=True)
+    order = np.argsort(inv, kind="stable")
+    total = np.add.reduceat(counts[order], np.searchsorted(inv[order], np.arange(len(keys)))) if len(keys) else np.empty(0, np.uint64)
+    return lists, keys, total
+
+
+def _up(tree: Tree, level: int):
+    """A node of `level` sends its children's merged keys to the next."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node = t.column("node")[0].as_py()
+        group, here = divmod(node, tree.fan**level)
+        (_, words, words_n), (_, pairs, pairs_n) = _merged(t, "words"), _merged(t, "pairs")
+        return pa.table(_asked_batch(list(_sent(tree, level + 1, group // tree.fan, here * tree.fan, node, words, words_n, pairs, pairs_n, sum(t.column("starts").to_pylist())))))
+
+    return run
+
+
+def _answers(t: pa.Table, part: int, lists: dict, keys: dict, totals: dict, vocabulary: int | None = None) -> pa.Table:
+    """To each child its own keys' totals; with a vocabulary, a row of its own (child -1) for that and for how many documents begin."""
+    of = lambda kind, i: pack(totals[kind][np.searchsorted(keys[kind], lists[kind][i])])
+    rows = [[c, part, of("words", i), of("pairs", i), 0, 0] for i, c in enumerate(t.column("child").to_pylist())]
+    if vocabulary is not None:
+        rows.append([-1, part, b"", b"", vocabulary, sum(t.column("starts").to_pylist())])
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.table({c.split()[0]: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(zip(_ANSWERS.split(", "), kinds, strict=True))})
+
+
+def _top(tree: Tree):
+    """A node of the last level has the counts of the whole corpus for its range."""
+
+    def run(t: pa.Table) -> pa.Table:
+        found = {k: _merged(t, k) for k in ("words", "pairs")}
+        lists, keys, totals = ({k: f[i] for k, f in found.items()} for i in range(3))
+        return _answers(t, t.column("node")[0].as_py() % tree.fan**tree.levels, lists, keys, totals, int(np.count_nonzero(totals["words"])))
 
     return run
 
 
-_ASKED = "shard int, chunk long, words binary, words_n binary, pairs binary, pairs_n binary, starts long"
-_ANSWERS = "chunk long, shard int, words_n binary, pairs_n binary, vocabulary long, starts long"
+def _in_order(t: pa.Table, kind: str) -> np.ndarray:
+    order = np.argsort(t.column("part").to_numpy())
+    return np.concatenate([unpack(t.column(kind)[int(i)].as_py(), np.uint64) for i in order])
 
 
-def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
-    """(for each list of keys the total counts, how many keys have a count)."""
-    if not keys:
-        return [], 0
-    uniq, inv = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inv, weights=np.concatenate(counts), minlength=len(uniq)).astype(np.uint32)
-    return np.split(total[inv], np.cumsum([len(k) for k in keys])[:-1]), int(np.count_nonzero(total))
+def _down(tree: Tree, level: int):
+    """A node of `level` gets the totals of its merged keys, range by range, and hands them to its children."""
+
+    def run(asked: pa.Table, got: pa.Table) -> pa.Table:
+        lists = {k: [unpack_sorted(x) for x in asked.column(k).to_pylist()] for k in ("words", "pairs")}
+        keys = {k: np.unique(np.concatenate(v)) for k, v in lists.items()}
+        totals = {k: _in_order(got, f"{k}_n") for k in keys}
+        return _answers(asked, asked.column("node")[0].as_py() % tree.fan**level, lists, keys, totals)
+
+    return run
 
 
-def _answer(t: pa.Table) -> pa.Table:
-    col = lambda c: t.column(c).to_pylist()
-    words, vocabulary = _totals([unpack_sorted(x) for x in col("words")], [unpack(x, np.uint32) for x in col("words_n")])
-    words = [pack(x) for x in words]
-    pairs, _ = _totals([unpack_sorted(x) for x in col("pairs")], [unpack(x, np.uint32) for x in col("pairs_n")])
-    chunks, shard = col("chunk"), col("shard")[0]
-    # a row of its own (chunk -1) tells the size of the shard's vocabulary and how many documents begin
-    return pa.table({
-        "chunk": pa.array([*chunks, -1], pa.int64()), "shard": pa.array([shard] * (len(chunks) + 1), pa.int32()), "words_n": pa.array([*words, b""], pa.binary()), "pairs_n": pa.array([*map(pack, pairs), b""], pa.binary()),
-        "vocabulary": pa.array([0] * len(chunks) + [vocabulary], pa.int64()), "starts": pa.array([0] * len(chunks) + [sum(col("starts"))], pa.int64()),
-    })
+def _counted(chunks: DataFrame, tree: Tree) -> tuple[DataFrame, int, int, list[DataFrame]]:
+    """(answers to the chunks, size of the vocabulary, documents that begin in training, tables to drop at the end)."""
+    asked = [write_stage(chunks.mapInArrow(tidy(_ask(tree)), _ASKED), "lm-asked")] if tree.levels > 1 else [chunks.mapInArrow(tidy(_ask(tree)), _ASKED)]
+    for level in range(1, tree.levels):
+        up = asked[-1].groupBy("node").applyInArrow(_up(tree, level), _ASKED)
+        asked.append(write_stage(up, "lm-asked") if level + 1 < tree.levels else up)
+    answers = write_stage(asked[-1].groupBy("node").applyInArrow(_top(tree), _ANSWERS), "lm-counts")
+    about = answers.where("child = -1").agg(F.sum("vocabulary").alias("v"), F.sum("starts").alias("s")).first()
+    stages = [*asked[:-1], answers]
+    answers = answers.where("child >= 0")
+    for level in range(tree.levels - 1, 0, -1):
+        nodes = asked[level - 1].groupBy("node").cogroup(answers.groupBy("child"))
+        stages.append(write_stage(nodes.applyInArrow(_down(tree, level), _ANSWERS), "lm-counts"))
+        answers = stages[-1]
+    return answers, int(about.v or 0), int(about.s or 0), stages
 
 
 _JOINED = "chunk long, doc_ids binary, lengths binary, train binary, tokens binary, words_n binary, pairs_n binary"
@@ -201,23 +295,21 @@ def _join(left: pa.Table, right: pa.Table) -> pa.Table:
     names = [x.split()[0] for x in _JOINED.split(", ")]
     if not left.num_rows:
         return pa.table({n: pa.array([], pa.int64() if n == "chunk" else pa.binary()) for n in names})
-    order = np.argsort(right.column("shard").to_numpy())
-    of = lambda c: np.concatenate([unpack(right.column(c)[int(i)].as_py(), np.uint32) for i in order])
     c = _chunk_of(left)
     _, which = c.pairs()
     get = lambda n: left.column(n)[0].as_py()
-    return pa.table({n: pa.array([v], pa.int64() if n == "chunk" else pa.binary()) for n, v in zip(names, [get("chunk"), get("doc_ids"), get("lengths"), get("train"), get("tokens"), pack(of("words_n")), pack(of("pairs_n")[which])], strict=True)})
+    return pa.table({n: pa.array([v], pa.int64() if n == "chunk" else pa.binary()) for n, v in zip(names, [get("chunk"), get("doc_ids"), get("lengths"), get("train"), get("tokens"), pack(_in_order(right, "words_n")), pack(_in_order(right, "pairs_n")[which])], strict=True)})
 
 
 def _counts(b: pa.RecordBatch, i: int, starts: int):
     """(doc_ids, lengths, train, count of each token, of its context, of its bigram)."""
     get = lambda c: b.column(c)[i].as_py()
-    lengths, tokens, words_n = unpack(get("lengths"), np.int64), unpack(get("tokens"), np.uint32), unpack(get("words_n"), np.uint32).astype(np.float64)
+    lengths, tokens, words_n = unpack(get("lengths"), np.int64), unpack(get("tokens"), np.uint32), unpack(get("words_n"), np.uint64).astype(np.float64)
     own = words_n[tokens]
     ctx = np.empty_like(own)
     ctx[1:] = own[:-1]
     ctx[np.cumsum(lengths) - lengths] = starts
-    return np.frombuffer(get("doc_ids"), np.int64), lengths, np.frombuffer(get("train"), bool), own, ctx, unpack(get("pairs_n"), np.uint32).astype(np.float64)
+    return np.frombuffer(get("doc_ids"), np.int64), lengths, np.frombuffer(get("train"), bool), own, ctx, unpack(get("pairs_n"), np.uint64).astype(np.float64)
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -304,18 +396,14 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     estimate. Rows without doc_id are left out. An empty table gives an empty result.
     """
     chunks = write_stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train")).where("doc_id is not null").mapInArrow(tidy(_chunks), _CHUNKS), "lm-chunks")
-    totals = chunks.agg(F.sum("n_keys").alias("keys"), F.sum("train_tokens").alias("tokens")).first()
+    totals = chunks.agg(F.count("*").alias("chunks"), F.sum("train_tokens").alias("tokens")).first()
     tokens = int(totals.tokens or 0)
-    shards = max(1, -(-int(totals.keys or 0) // SHARD_KEYS))
-    asked = chunks.select("chunk", "doc_ids", "lengths", "train", "words", "tokens").mapInArrow(tidy(_ask(shards)), _ASKED)
-    answers = write_stage(asked.groupBy("shard").applyInArrow(_answer, _ANSWERS), "lm-counts")
-    about = answers.where("chunk = -1").agg(F.sum("vocabulary").alias("v"), F.sum("starts").alias("s")).first()
-    vocabulary, starts = int(about.v or 0), int(about.s or 0)
     body = chunks.select("chunk", "doc_ids", "lengths", "train", "words", "tokens")
-    joined = body.groupBy("chunk").cogroup(answers.where("chunk >= 0").select("chunk", "shard", "words_n", "pairs_n").groupBy("chunk")).applyInArrow(_join, _JOINED)
+    answers, vocabulary, starts, stages = _counted(body, Tree.over(totals.chunks, FAN))
+    joined = body.groupBy("chunk").cogroup(answers.select(F.col("child").alias("chunk"), "part", "words_n", "pairs_n").groupBy("chunk")).applyInArrow(_join, _JOINED)
     joined = write_stage(joined, "lm-joined")
-    drop_stage(chunks)
-    drop_stage(answers)
+    for stage in (chunks, *stages):
+        drop_stage(stage)
     seen = joined.mapInArrow(_histogram(starts, tokens), "cell long, n double, p2 double, p1 double")
     rows = seen.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).orderBy("cell").collect()  # BUCKETS * BINS * BINS cells at most
     cells, n, p2, p1 = (np.array([r[i] for r in rows], np.int64 if i == 0 else np.float64) for i in range(4))

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,8 +30,8 @@ MAGIC, VERSION = b"PTOK", 1
 HEAD = "<4sHH32s"
 FOOT = "<QQ4s"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("ids", "<u4")])
-#: The dictionary's size, and the documents that it is trained on at most.
-DICT_BYTES, DICT_DOCS, LEVEL = 64 << 10, 1000, 3
+#: The dictionary's size, and the documents that it is trained on at most, with so many characters from a place of each.
+DICT_BYTES, DICT_DOCS, DICT_CHARS, LEVEL = 64 << 10, 1000, 8192, 3
 
 
 def width_of(vocabulary: int) -> int:
@@ -39,10 +40,14 @@ def width_of(vocabulary: int) -> int:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, width: int, sample_docs: int = DICT_DOCS) -> bytes:
-    """A dictionary from about sample_docs documents by hash of doc_id; empty bytes where the sample is too small to train on."""
+    """A dictionary from about sample_docs documents by hash of doc_id; empty bytes where the sample is too small to train on.
+
+    A long document takes part with DICT_CHARS characters from a place that its hash gives, so the sample's size is bounded.
+    """
     n = docs.count()
     step = max(1, n // sample_docs)
-    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text").limit(sample_docs).collect()
+    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.char_length("text") - DICT_CHARS, F.lit(1))) + 1
+    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select(F.substring("text", place.cast("int"), F.lit(DICT_CHARS)).alias("text")).limit(sample_docs).collect()
     enc = encoder_for(tokenizer, "byte")
     flat, sizes = enc.encode([r.text or "" for r in rows])
     ends = np.cumsum(sizes)
@@ -103,47 +108,31 @@ class Reader:
         self.f.close()
 
 
-def _encode(tokenizer: str, dictionary: bytes, width: int, end_id: int, cuts: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, codec = encoder_for(tokenizer, "byte"), Codec(dictionary, width)
-        for ids, texts in text_batches(batches):
-            flat, n = enc.encode([t or "" for t in texts])
-            ends, slot = np.cumsum(n), np.searchsorted(cuts, np.array(ids, np.int64))
-            frames = [codec.pack(np.append(flat[e - s : e], np.uint32(end_id))) for e, s in zip(ends, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(ids, pa.int64()), pa.array(n + 1, pa.int64()), pa.array(frames, pa.binary())], names=["slot", "doc_id", "n", "frame"])
-
-    return run
-
-
-def _write(folder: str, dictionary: bytes, width: int):
-    """Rows come ordered by (slot, doc_id); each slot becomes one file."""
+def _write(tokenizer: str, folder: str, dictionary: bytes, width: int, end_id: int):
+    """Rows come ordered by doc_id, a range of them to a task; each task writes one file, and reports it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = struct.pack(HEAD, MAGIC, VERSION, width, hashlib.sha256(dictionary).digest())
-
-        def rows():
-            for b in batches:
-                cols = [b.column(c).to_pylist() for c in ("slot", "doc_id", "n")]
-                frames = b.column("frame")
-                for i, (s, d, n) in enumerate(zip(*cols, strict=True)):
-                    yield s, d, n, frames[i].as_py()
-
-        it = rows()
-        row = next(it, None)
-        while row:
-            slot, index, at, total = row[0], [], len(head), 0
-            with new_file(folder, f"ids-{slot:06d}") as (out, name):
-                out.write(head)
-                while row and row[0] == slot:
-                    _, d, n, frame = row
-                    out.write(frame)
-                    index.append((d, at, len(frame), n))
+        enc, codec = encoder_for(tokenizer, "byte"), Codec(dictionary, width)
+        slot, head = TaskContext.get().partitionId(), struct.pack(HEAD, MAGIC, VERSION, width, codec.hash)
+        parts = text_batches(batches, most=2_000_000)
+        part = next(parts, None)
+        if part is None:
+            return
+        index, at, total = [], len(head), 0
+        with new_file(folder, f"ids-{slot:06d}") as (out, name):
+            out.write(head)
+            while part:
+                ids, texts = part
+                flat, n = enc.encode([t or "" for t in texts])
+                for d, e, s in zip(ids, np.cumsum(n).tolist(), n.tolist(), strict=True):
+                    out.write(frame := codec.pack(np.append(flat[e - s : e], np.uint32(end_id))))
+                    index.append((d, at, len(frame), s + 1))
                     at += len(frame)
-                    total += n
-                    row = next(it, None)
-                out.write(np.array(index, INDEX).tobytes())
-                out.write(struct.pack(FOOT, at, len(index), MAGIC))
-            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), pa.array([name]), pa.array([len(index)], pa.int64()), pa.array([total], pa.int64())], names=["slot", "name", "docs", "ids"])
+                    total += s + 1
+                part = next(parts, None)
+            out.write(np.array(index, INDEX).tobytes())
+            out.write(struct.pack(FOOT, at, len(index), MAGIC))
+        yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), pa.array([name]), pa.array([len(index)], pa.int64()), pa.array([total], pa.int64())], names=["slot", "name", "docs", "ids"])
 
     return run
 
@@ -169,35 +158,45 @@ def _read(folder: str, dictionary: bytes, width: int):
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, vocabulary: int, end_id: int = 0, rows_per_file: int = 8192) -> tuple[DataFrame, bytes]:
     """(manifest, dictionary): writes ids in ascending doc_id order; manifest: slot, name, docs, ids of each file.
 
-    Files follow each other by slot, and rows within a file by doc_id. Slots are ranges of doc_id between
-    quantiles, so that each file gets about rows_per_file documents. docs needs doc_id (unique, not null) and
-    text; null text is empty, so a document has its end id at least. Rows without doc_id are left out, repeated rows are written each, and an
-    empty table writes no file.
+    Files follow each other by slot, and rows within a file by doc_id. Slots are range partitions of doc_id with about
+    rows_per_file documents each; a task encodes and writes its range, so ids themselves are never shuffled. docs
+    needs doc_id (unique, not null) and text; null text is empty, so a document has its end id at least. Rows without
+    doc_id are left out, repeated rows are written each, and an empty table writes no file.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     width = width_of(vocabulary)
     dictionary = train_dictionary(docs, tokenizer, width)
     with new_file(folder, "dictionary-" + hashlib.sha256(dictionary).hexdigest()) as (out, _):
         out.write(dictionary)
-    n = docs.count()
-    slots = max(1, -(-n // rows_per_file))
-    cuts = docs.select(F.percentile_approx("doc_id", [(i + 1) / slots for i in range(slots - 1)], 100 * slots).alias("q")).first().q if slots > 1 else []
-    cuts = np.array(sorted(set(cuts or [])), np.int64)
-    coded = docs.mapInArrow(_encode(tokenizer, dictionary, width, end_id, cuts), "slot long, doc_id long, n long, frame binary")
-    files = coded.repartition("slot").sortWithinPartitions("slot", "doc_id").mapInArrow(_write(folder, dictionary, width), "slot long, name string, docs long, ids long")
+    slots = max(1, -(-docs.count() // rows_per_file))
+    ordered = docs.repartitionByRange(slots, "doc_id").sortWithinPartitions("doc_id")
+    files = ordered.mapInArrow(_write(tokenizer, folder, dictionary, width, end_id), "slot long, name string, docs long, ids long")
     return write_stage(files, "token-files"), dictionary
 
 
+#: Files of a group, whose ids are added up before the groups are; and files that a reading task gets, on average, where there are many.
+GROUP_FILES, TASK_FILES = 1024, 4
+
+
+def file_offsets(manifest: DataFrame) -> DataFrame:
+    """slot, name, before: the ids in all files before each. Files add up within groups, and only the groups' sums in one task."""
+    m = manifest.select("slot", "name", "ids", F.floor(F.col("slot") / GROUP_FILES).alias("g"))
+    sums = m.groupBy("g").agg(F.sum("ids").alias("s"))
+    sums = sums.select("g", F.coalesce(F.sum("s").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("groups"))
+    own = F.coalesce(F.sum("ids").over(Window.partitionBy("g").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return m.withColumn("own", own).join(sums, "g").select("slot", "name", (F.col("own") + F.col("groups")).cast("long").alias("before"))
+
+
 def read_token_files(manifest: DataFrame, dictionary: bytes, folder: str, vocabulary: int) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document, from the files."""
-    before = F.coalesce(F.sum("ids").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = manifest.select("slot", "name", before.cast("long").alias("before"))  # one row for each file
-    dealt = placed.repartition(max(1, manifest.count()), "slot")  # a number of its own, so that small rows aren't gathered in one task
+    files = manifest.count()
+    tasks = max(1, -(-files // TASK_FILES), min(files, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = file_offsets(manifest).repartition(tasks, "slot")  # a number of its own, so that small rows aren't gathered in one task
     return dealt.select("name", "before").mapInArrow(_read(folder, dictionary, width_of(vocabulary)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def roundtrip(spark: SparkSession, docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = 0) -> DataFrame:
-    """Write token files to the shared folder and read them back."""
+    """Write token files to the shared folder and read them back; rows as write_token_files takes them."""
     folder = new_dir(spark, "token-files")
     manifest, dictionary = write_token_files(docs, tokenizer, folder, vocabulary, end_id)
     return read_token_files(manifest, dictionary, folder, vocabulary)

@@ -14,9 +14,9 @@ from tokenizers import Tokenizer
 
 from periodica.llm import bpe, langid, lm, minhash, packing, quality, tokenfile, urlfilter, vectors, warc
 from periodica.llm.common import crc_fold, likely_in
-from periodica.llm.components import connected_components
 from periodica.llm.shingles import WordHasher, jaccard_at_least, shingle_set
 from periodica.llm.tokens import Encoder, byte_level_pieces, word_pieces
+from periodica.operators.components import connected_components
 
 WORDS = "the of and to in is that for it with as was on be at by this from or have an they which one you were all her would there".split()
 
@@ -263,27 +263,98 @@ def test_cascade_order(spark):
     assert rates == sorted(rates, reverse=True) and order[0][2] > 0
 
 
-def brute_lm(texts, train):
+def brute_counts(texts, train):
+    """(tokens of each text, counts of words, counts of pairs, training texts); a text ends with None and begins after START."""
     tokens = [[*(t or "").encode().lower().split(), None] for t in texts]
-    c = {}
+    c, pairs = {}, {}
     for t, use in zip(tokens, train, strict=True):
-        for w in t if use else ():
+        for left, w in zip(["START", *t], t, strict=False) if use else ():
             c[w] = c.get(w, 0) + 1
+            pairs[left, w] = pairs.get((left, w), 0) + 1
+    return tokens, c, pairs, sum(train)
+
+
+def brute_lm(texts, train):
+    tokens, c, _, _ = brute_counts(texts, train)
     n, v = sum(c.values()), len(c)
     return [(len(t), sum(w in c for w in t), n, sum(np.log10((c.get(w, 0) + 1) / (n + v + 1)) for w in t)) for t in tokens]
 
 
-def test_lm(docs, monkeypatch):
+def brute_score(texts, train, weights):
+    """The mixture's log10 probability of each text, token by token."""
+    tokens, c, pairs, starts = brute_counts(texts, train)
+    n, v = sum(c.values()), len(c)
+    out = []
+    for t in tokens:
+        total = 0.0
+        for left, w in zip(["START", *t], t, strict=False):
+            ctx = starts if left == "START" else c.get(left, 0)
+            bucket = 0 if ctx == 0 else min(int(np.floor(np.log2(ctx))) + 1, lm.BUCKETS - 1)
+            l2, l1, l0 = weights[bucket]
+            total += np.log10(l2 * (pairs.get((left, w), 0) / ctx if ctx else 0) + l1 * c.get(w, 0) / max(n, 1) + l0 / (v + 1))
+        out.append(total)
+    return out
+
+
+def brute_weights(texts, train, rounds=50):
+    """Expectation-maximisation over every deleted occurrence, without bins."""
+    tokens, c, pairs, starts = brute_counts(texts, train)
+    n, v = sum(c.values()), len(c)
+    rows: dict = {}
+    for t, use in zip(tokens, train, strict=True):
+        for left, w in zip(["START", *t], t, strict=False) if use else ():
+            ctx = (starts if left == "START" else c[left]) - 1
+            bucket = 0 if ctx == 0 else min(int(np.floor(np.log2(ctx))) + 1, lm.BUCKETS - 1)
+            rows.setdefault(bucket, []).append(((pairs[left, w] - 1) / ctx if ctx else 0.0, (c[w] - 1) / (n - 1), 1 / (v + 1)))
+    out = {}
+    for k, p in rows.items():
+        p, lam = np.array(p), np.array((0.0, 0.5, 0.5) if k == 0 else (1 / 3,) * 3)
+        for _ in range(rounds):
+            share = p * lam
+            lam = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+        out[k] = lam
+    return out
+
+
+@pytest.mark.parametrize(("chunk_chars", "fan"), [(10_000_000, 256), (3_000, 4), (3_000, 2)], ids=["one chunk", "two levels", "many levels"])
+def test_lm(docs, monkeypatch, chunk_chars, fan):
     df, texts = docs
-    monkeypatch.setattr(lm, "SHARD_KEYS", 500)
-    got = lm.score(df, crc_fold("doc_id", 7) != 2).orderBy("doc_id").collect()
+    learned = []
+    whole = lm.mixture
+    monkeypatch.setattr(lm, "CHUNK_CHARS", chunk_chars)
+    monkeypatch.setattr(lm, "FAN", fan)
+    monkeypatch.setattr(lm, "mixture", lambda *a, **k: learned.append(whole(*a, **k)) or learned[-1])
+    some = df.coalesce(1) if chunk_chars > 10_000 else df
+    rows = lm.score(some, crc_fold("doc_id", 7) != 2).orderBy("doc_id").collect()
     train = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
-    for r, (n, k, total, base) in zip(got, brute_lm(texts, train), strict=True):
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, k, total) and abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and np.isfinite(r.score) and r.score <= 0
+    for r, (n, k, total, base), score in zip(rows, brute_lm(texts, train), brute_score(texts, train, learned[0]), strict=True):
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, k, total) and abs(r.base_score - base) < 1e-6 * max(1, abs(base))
+        assert r.score == pytest.approx(score, rel=1e-9) and r.score <= 0
     assert lm.score(df.limit(0), F.lit(True)).count() == 0
     assert all(np.isfinite(r.score) for r in lm.score(df, F.lit(False)).collect())
 
 
+def test_lm_weights_are_near_those_without_bins(spark, sf_dir, monkeypatch):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    learned, whole = [], lm.mixture
+    monkeypatch.setattr(lm, "mixture", lambda *a, **k: learned.append(whole(*a, **k)) or learned[-1])
+    rows = {r.doc_id: r for r in lm.score(df, crc_fold("doc_id", 7) != 2).collect()}
+    texts = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+    ids = sorted(texts)
+    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i in ids]
+    exact = brute_weights([texts[i] for i in ids], train)
+    for k, lam in exact.items():
+        assert np.abs(learned[0][k] - lam).max() < 0.05, k
+    full = np.array([exact.get(k, learned[0][k]) for k in range(lm.BUCKETS)])
+    want = brute_score([texts[i] for i in ids], train, np.maximum(full, 1e-12))
+    assert sum(rows[i].score for i in ids) == pytest.approx(sum(want), rel=0.005)
+
+
+def test_lm_counts_beyond_32_bits():
+    t = lm.pa.table(lm._asked_batch([[0, c, lm.pack_sorted(np.array([5, 9], np.uint64)), lm.pack(np.array([3_000_000_000, 1], np.uint64)), lm.pack_sorted(np.empty(0, np.uint64)), lm.pack(np.empty(0, np.uint64)), 0] for c in (1, 2)]))
+    assert lm._merged(t, "words")[2].tolist() == [6_000_000_000, 2]
+
+
 def test_lm_beats_the_base_on_held_out_text(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     r = lm.score(df, crc_fold("doc_id", 7) != 2).where(crc_fold("doc_id", 7) == 2).agg(F.sum("score"), F.sum("base_score")).first()
