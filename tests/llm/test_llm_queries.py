@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from periodica.llm import queries as Q
-from periodica.llm import quality
+from periodica.llm import langid, quality
 from tests.llm.test_llm_small import awkward, brute_lm, brute_near
 
 NAMES = ("op1_url_filter", "op2_packing", "op3_bpe", "op4_token_files", "op5_minhash_dedup", "op6_quality_rules", "op7_lm_scoring", "op8_vector_dedup", "op9_language_id", "op10_warc")
@@ -133,7 +133,12 @@ def test_pipeline_stages(spark, sf_dir, table):
             assert after.columns == docs.columns
         kept = {r.doc_id for r in rows}
         if name == "language_id":
-            assert kept == {r.doc_id for r in before if r.text and any(c.isalpha() for c in r.text)}
+            model = langid.fit_on(docs)
+            found = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+            assert kept == {r.doc_id for r in before if r.text and any(c.isalpha() for c in r.text) and found[r.doc_id].score >= 0.5 - 1e-6}
+            assert len(kept) > 0.95 * sum(bool(r.text and any(c.isalpha() for c in r.text)) for r in before)
+            old = {r.doc_id: r.lang for r in before}
+            assert all(r.lang == (old[r.doc_id] or found[r.doc_id].lang_pred) for r in rows)
         elif name == "quality_rules":
             con = duckdb.connect()
             documents = spark.createDataFrame([(r.doc_id, r.text) for r in before], "doc_id long, text string").toPandas()  # noqa: F841  read by name
