@@ -132,7 +132,7 @@ def judge(pages: DataFrame, model: tuple[float, list[float]], rules: Sequence[tu
     verdicts, and a very long one is judged whole. Of rules that fit equally long, the last given wins.
     """
     bias, w = model
-    weights = F.transform(F.split(F.lit(" ".join(f"{x:.9g}" if x else "0" for x in w)), " "), lambda x: x.cast("double"))  # folded to a constant
+    weights = F.split(F.lit(" ".join(f"{x:.9g}" if x else "0" for x in w)), " ").cast("array<double>")  # no lambda, so it is folded to a constant
     added = ("host", "path", "rule", "verdict", "score")
     d = pages.select(*[c for c in pages.columns if c not in added], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
