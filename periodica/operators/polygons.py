@@ -479,6 +479,21 @@ def scene_areas(df: DataFrame, scenes: dict[str, S.Shape], key: str) -> DataFram
     return _over_rows(df, key, list(scenes), lambda env, n: [area(s, env, n) for s in scenes.values()])
 
 
+def largest_part_areas(df: DataFrame, scene: S.Shape, key: str, out: str = "area") -> DataFrame:
+    """key, out: area of the largest part of a scene with parameters from the columns, its holes filled; 0 for an empty one.
+
+    Parts and holes hang on the topology of each row's own slabs, so rows are gone through one by one.
+    """
+
+    def run(env, n):
+        rings: list[np.ndarray] = []
+        inside = scene_rows(scene, env, n, rings)
+        regions = (compose([r[k if len(r) > 1 else 0] for r in rings], inside) for k in range(n))
+        return [np.array([0.0 if g.is_empty() else g.largest_without_holes().area() for g in regions])]
+
+    return _over_rows(df, key, [out], run)
+
+
 def cell_areas(df: DataFrame, cell, key: str, out: str = "area") -> DataFrame:
     """key, out: area of the periodic scene within its cell, with parameters from the columns. Rows that need the same copies are measured together."""
     ends = [e for pair in cell.copy_ranges() for e in pair]

@@ -406,6 +406,11 @@ select cell_id, {r6('avg(hit::double)', 'fill_fraction')} from d group by 1"""
         "poly_boolean_area": f"with {BOXES}, c as (select *, greatest(least(ax+w/2, bx+0.5)-greatest(ax-w/2, bx-0.5), 0)*greatest(least(ay+h/2, b_y+0.5)-greatest(ay-h/2, b_y-0.5), 0) i from b) select id, round(w*h+1-i, 9) + 0 union_area, round(i, 9) + 0 intersection_area, round(w*h-i, 9) + 0 difference_area from c",
         "cell_polygon_area": f"with {BOXES} select id, {r6('least(w, 4)*least(h, 3)', 'area')} from b",
         "round_corners_area": f"with {BOXES} select id, {r6('w*h - 0.04*(4-64*sin(pi()/32)/2)', 'area')} from b",
+        "cell_polygon_area_hex": f"with {BOXES} select id, {r6('w*(1 + (id%7)/4.0::double)', 'area')} from b",
+        "remove_holes_area": f"with {BOXES} select id, {r6('w*h', 'area')} from b",
+        "contour_area": f"with m as (select p_partkey id, 1+p_size%9 w, 1+p_partkey%7 h from part), n as (select *, w > 2 and h > 2 pierced from m) select id, 1+pierced::int rings, 0 last_part, {r6('w*h-0.5::double', 'area')}, {r6('case when pierced then 0.5::double end', 'hole_area')} from n",
+        "gds_roundtrip": "with q as (select p_partkey//50 layout, p_partkey%1000+0.137::double x, 0.291::double-p_partkey%7 y, 1+p_size/30.0::double w from part) select layout, 3 layer, 4 vertices, round(x, 3)+0 x0, round(y, 3)+0 y0, round(x+w, 3)+0 x1, round(y+w/2, 3)+0 y1 from q",
+        "generate_hooks": f"select hook, i::bigint cell_id, hook = 'plain' made, case hook when 'plain' then 1 else 20 end::bigint attempts, case hook when 'plain' then '' when 'failing' then 'no_room=20' else 'not_wanted=20' end reasons, round(case hook when 'plain' then 0.6/9::double end, 6) fill from range(24) t(i), (values ('plain'), ('failing'), ('rejecting')) v(hook)",
         "fill_fraction": fill,
         "leaf_count": """with recursive s as (select p_partkey//10 cell_id, p_partkey%10+1 node_id, (p_partkey%10+1)//2 parent_id, case when (p_partkey%10+1)*2 > 10 then 'Rectangle' when p_partkey%10 = 4 then 'Translate' when (p_partkey//10 + p_partkey%10+1)%5 = 0 then 'Difference'
  when (p_partkey//10 + p_partkey%10+1)%7 = 0 then 'Translate' else 'Union' end as type from part), w as (select s.* from s left join s t on t.cell_id = s.cell_id and t.node_id = s.parent_id where t.node_id is null

@@ -15,6 +15,7 @@ from periodica.operators import shapes as S
 from periodica.operators.lattice import Lattice, UnitCell, boundary_points, box_ranges, cartesian_grid, default_softness, fill_fractions, fractional_grid, hard_mask, periodic_sdf, raster_prints, rasterize, soft_mask
 from periodica.operators.nearest import union_distances
 from periodica.sources.cells import scene_types
+from periodica.sources.contours import gds_rings, gds_streams, mask_outlines
 
 K, X, Y, ANG = col("k"), col("x"), col("y"), col("ang")
 #: Centre of the figures in the point queries; off the grid of the points, so that no point lies on an outline.
@@ -163,7 +164,9 @@ def tf_feature_size(spark, sf_dir):
     """Feature sizes under transforms: kept by moves and turns, multiplied by scalings, unknown for a union."""
     r = S.Rectangle((0, 0), (1.0 + K / 50.0, 0.5 + K / 40.0))
     df = with_columns(points(spark, sf_dir), {"moved": r.translate(1.0, 2.0).min_feature_size(), "turned": r.rotate(ANG).min_feature_size(), "scaled": r.scale(0.5 + K / 100.0).min_feature_size()})
-    return df.selectExpr("pt", rounded("moved", "moved"), rounded("turned", "turned"), rounded("scaled", "scaled"), "CAST(NULL AS DOUBLE) AS unite")
+    unite = (r | r.translate(3.0, 0.0)).scale(2.0).min_feature_size()
+    df = df.withColumn("unite", F.lit(None).cast("double")) if unite is None else with_columns(df, {"unite": unite})
+    return df.selectExpr("pt", rounded("moved", "moved"), rounded("turned", "turned"), rounded("scaled", "scaled"), rounded("unite", "unite"))
 
 
 def tf_bounds(spark, sf_dir):
@@ -504,6 +507,28 @@ def generate_valid(spark, sf_dir):
     return m.select("cell_id", F.col("num_shapes").between(1, 2).alias("number_ok"), (F.col("min_gap") > 0.02).alias("gap_ok"), (F.size(F.array_except("kinds", allowed)) == 0).alias("kinds_ok"), (F.abs(F.aggregate("shape_areas", F.lit(0.0), lambda a, x: a + x) / 9 - F.col("fill")) < 1e-9).alias("fill_ok"), F.col("attempts").between(1, 20).alias("attempts_ok"))
 
 
+def _plain_attempt(config, lattice, rng):
+    """An attempt of one's own: the same rectangle in every cell."""
+    return UnitCell(lattice, S.Rectangle((1.5, 1.5), (1.2, 0.5)))
+
+
+def _no_attempt(config, lattice, rng):
+    raise RuntimeError("no_room")
+
+
+class _Picky(generate.Validator):
+    def validate(self, cell):
+        return "not_wanted"
+
+
+def generate_hooks(spark, sf_dir):
+    """Batches by generators of one's own: a plain attempt, one that always fails, and a validator that rejects all."""
+    lat, hooks = Lattice.rectangular(3.0, 3.0), {"plain": (None, _plain_attempt), "failing": (None, _no_attempt), "rejecting": (_Picky(), _plain_attempt)}
+    made = [generate.generate(spark, CONFIG, lat, validator, attempt).withColumn("hook", F.lit(n)) for n, (validator, attempt) in hooks.items()]
+    why = F.array_join(F.transform(F.map_entries("reasons"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+    return made[0].unionByName(made[1]).unionByName(made[2]).select("hook", "cell_id", F.col("cell").isNotNull().alias("made"), "attempts", why.alias("reasons"), F.expr(rounded("fill", "fill")))
+
+
 def generator_lattice(spark, sf_dir):
     """Lattices resized as the generator does it: the whole cell to a length by row, or each vector to its own."""
     lat = _row_lattice()
@@ -576,6 +601,34 @@ def cell_polygon_area(spark, sf_dir):
     return P.cell_areas(_box_pairs(spark, sf_dir).select("id", "ax", "ay", "w", "h"), cell, "id").selectExpr("id", rounded("area", "area"))
 
 
+def cell_polygon_area_hex(spark, sf_dir):
+    """Areas of turned boxes within a hexagonal cell: their images don't meet, so each keeps its own area."""
+    boxes = _box_pairs(spark, sf_dir).selectExpr("id", "ax", "ay", "w", "1D + CAST(id % 7 AS DOUBLE) / 4D AS h", "ang")
+    return P.cell_areas(boxes, UnitCell(Lattice.hexagonal(6.0), S.Rectangle((col("ax"), col("ay")), (col("w"), col("h")), ANG)), "id").selectExpr("id", rounded("area", "area"))
+
+
+def remove_holes_area(spark, sf_dir):
+    """Areas of a box with a hole beside a smaller box: the larger part counts, without its hole."""
+    scene = (S.Rectangle((0.0, 0.0), (col("w"), col("h"))) - S.Rectangle((0.1, 0.05), (0.4, 0.3), ANG)) | S.Rectangle((20.0, 0.0), (0.7, 0.6))
+    return P.largest_part_areas(_box_pairs(spark, sf_dir).select("id", "w", "h", "ang"), scene, "id").selectExpr("id", rounded("area", "area"))
+
+
+def contour_area(spark, sf_dir):
+    """Outlines of masks: a block of pixels by row, with a hole of one pixel in those of three by three and more; their number and areas."""
+    m = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "1 + p_size % 9 AS w", "CAST(1 + p_partkey % 7 AS INT) AS h")
+    m = m.selectExpr("id", "transform(sequence(0, 9), y -> transform(sequence(0, 11), x -> x BETWEEN 2 AND w + 1 AND y BETWEEN 1 AND h AND NOT (x = 3 AND y = 2 AND w > 2 AND h > 2))) AS mask")
+    rings = mask_outlines(m, "id", "mask", distance=False, tolerance=0.0).withColumn("a", P.area_column(F.col("ring")))
+    return rings.groupBy("id").agg(F.count("*").alias("rings"), F.max("part").alias("last_part"), F.sum(F.when(~F.col("hole"), F.col("a"))).alias("a"), F.sum(F.when(F.col("hole"), F.col("a"))).alias("b")).selectExpr("id", "rings", "last_part", rounded("a", "area"), rounded("b", "hole_area"))
+
+
+def gds_roundtrip(spark, sf_dir):
+    """Boxes by row as boundaries of a layout stream for each fifty parts, read back: corners lie on the stream's steps."""
+    b = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_partkey DIV 50 AS layout", "CAST(p_partkey % 1000 AS DOUBLE) + 0.137D AS x0", "0.291D - CAST(p_partkey % 7 AS DOUBLE) AS y0", "1D + CAST(p_size AS DOUBLE) / 30D AS w")
+    b = b.selectExpr("layout", "transform(array(array(0D, 0D), array(1D, 0D), array(1D, 0.5D), array(0D, 0.5D)), c -> struct(x0 + c[0] * w AS x, y0 + c[1] * w AS y)) AS ring")
+    back = gds_rings(gds_streams(b, "layout", "ring", layer=3), "layout", "gds").withColumn("b", P.bounds_column(F.col("ring")))
+    return back.selectExpr("layout", "layer", "size(ring) AS vertices", *(rounded(f"b.{s}", s) for s in ("x0", "y0", "x1", "y1")))
+
+
 def round_corners_area(spark, sf_dir):
     """Areas of rounded rectangles: the corners lose (4 - pi) r^2, but for the arcs' segments."""
     return P.scene_areas(_box_pairs(spark, sf_dir).select("id", "w", "h"), {"area": S.Rectangle((0, 0), (col("w"), col("h")), 0.0, 0.2)}, "id").selectExpr("id", rounded("area", "area"))
@@ -625,7 +678,7 @@ def queries() -> dict:
     plain = (
         bounds_all, min_feature_size, validate_shapes, project_params, csg_union_many, csg_setop_equivalence, tf_feature_size, tf_bounds, lattice_area, lattice_roundtrip, lattice_offset, neighbor_offsets, grid_fractional, grid_cartesian,
         fold_points, copy_ranges, piece_ranges, periodic_sdf_rect, periodic_sdf_hex, periodic_sdf_far, mask_hard, mask_soft, extent, center_bbox, center_centroid, poly_vertices, poly_area, poly_centroid, poly_outline_area, poly_transform, poly_raster, poly_covers, poly_distance,
-        poly_boolean_area, cell_polygon_area, round_corners_area, fill_fraction, leaf_count, leaf_metrics, min_gap, cell_metrics, constraint_check, validate_cells, dup_pairs, dup_groups, generate_cells, generate_metrics, generate_valid, generator_lattice, report_rollup, report_merge, scene_json_scan, yaml_roundtrip, grad_sdf_rect, grad_softmask_fill, grad_lattice, grad_constrained,
+        poly_boolean_area, cell_polygon_area, cell_polygon_area_hex, remove_holes_area, contour_area, gds_roundtrip, round_corners_area, fill_fraction, leaf_count, leaf_metrics, min_gap, cell_metrics, constraint_check, validate_cells, dup_pairs, dup_groups, generate_cells, generate_metrics, generate_valid, generate_hooks, generator_lattice, report_rollup, report_merge, scene_json_scan, yaml_roundtrip, grad_sdf_rect, grad_softmask_fill, grad_lattice, grad_constrained,
     )
     q |= {f.__name__: f for f in plain}
     return q | {"rasterize": raster, "rasterize_cartesian": raster_cartesian, "boundary_points": boundary}

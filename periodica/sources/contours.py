@@ -6,6 +6,7 @@ import math
 import struct
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 
 def mask_rings(values: np.ndarray, level: float = 0.5) -> list[np.ndarray]:
@@ -102,6 +103,54 @@ def polygons_of(values: np.ndarray, level: float = 0.5, tolerance: float = 0.0)
     return outer
 
 
+def nearest_set(mask: np.ndarray) -> np.ndarray:
+    """Distance, in pixels, of each node of a mask to the nearest one that is set; infinite where none is.
+
+    Exact: distances along columns first, then for each row the least over its columns, so memory is that of a row's square.
+    """
+    m = np.asarray(mask, bool)
+    along = np.where(m, 0.0, np.inf)
+    for step in (along, along[::-1]):  # downwards, then upwards; a view writes through
+        for y in range(1, len(step)):
+            np.minimum(step[y], step[y - 1] + 1.0, out=step[y])
+    x = np.arange(m.shape[1], dtype=float)
+    apart = (x[:, None] - x[None, :]) ** 2
+    return np.stack([np.sqrt((apart + row[None, :] ** 2).min(axis=1)) for row in along]) if m.size else along
+
+
+def signed_distance(mask: np.ndarray) -> np.ndarray:
+    """Distance of set nodes to the nearest unset one, and minus that of unset nodes to the nearest set one; a mask of one kind has infinite ones."""
+    m = np.asarray(mask, bool)
+    return np.where(m, nearest_set(~m), -nearest_set(m))
+
+
+def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian mean of a raster, four deviations wide, with the border's values beyond the border."""
+    if not sigma > 0:
+        raise ValueError("sigma must be positive")
+    r = max(1, round(4 * sigma))
+    w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    w /= w.sum()
+    out = np.asarray(values, float)
+    for axis in (0, 1):
+        wide = np.pad(out, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+        out = sum(k * np.take(wide, np.arange(i, i + out.shape[axis]), axis) for i, k in enumerate(w))
+    return out
+
+
+def mask_polygons(mask: np.ndarray, distance: bool = True, sigma: float | None = None, tolerance: float = 0.5) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """(outer ring, holes) of a mask, in pixels: by its signed distances, half a pixel outside of the set ones, or as it is; smoothed before, if sigma is given.
+
+    A mask without set nodes has no polygon; one that is set throughout has the border as its outline.
+    """
+    m = np.asarray(mask, bool)
+    if not m.any():
+        return []
+    values = signed_distance(m) if distance and not m.all() else m.astype(float)
+    level = -0.5 if distance and not m.all() else 0.5
+    return polygons_of(values if sigma is None else smoothed(values, sigma), level, tolerance)
+
+
 def _holds(ring: np.ndarray, p: np.ndarray) -> bool:
     n = np.roll(ring, -1, axis=0)
     crossed = (ring[:, 1] > p[1]) != (n[:, 1] > p[1])
@@ -109,6 +158,23 @@ def _holds(ring: np.ndarray, p: np.ndarray) -> bool:
     return bool((crossed & (p[0] < x)).sum() % 2)
 
 
+def mask_outlines(df: DataFrame, key: str, mask: str, distance: bool = True, sigma: float | None = None, tolerance: float = 0.5) -> DataFrame:
+    """key, part, hole, ring (array of structs x, y): the polygons of masks, arrays of rows of booleans; a null or empty mask has none."""
+    import pandas as pd
+
+    def rows(batches):
+        for b in batches:
+            out = []
+            for k, m in zip(b[key], b[mask], strict=True):
+                if m is None or not len(m):
+                    continue
+                for part, (outer, holes) in enumerate(mask_polygons(np.stack(m), distance, sigma, tolerance)):
+                    out += [(k, part, i > 0, [{"x": x, "y": y} for x, y in r.tolist()]) for i, r in enumerate([outer, *holes])]
+            yield pd.DataFrame(out, columns=[key, "part", "hole", "ring"])
+
+    return df.select(key, mask).mapInPandas(rows, f"{key} {dict(df.dtypes)[key]}, part int, hole boolean, ring array<struct<x:double,y:double>>")
+
+
 # ---- GDSII ----------------------------------------------------------------------------------------------------
 
 #: Record types of the public stream format, with their data types.
@@ -167,3 +233,26 @@ def load_gds(data: bytes) -> list[tuple[int, np.ndarray]]:
             return out
         at += size
     raise ValueError("a GDSII stream is cut short")
+
+
+def gds_streams(df: DataFrame, key: str, ring: str, **how) -> DataFrame:
+    """key, gds: a stream for each key with its rings, in their order, as boundaries (see dump_gds); a null ring is left out."""
+    import pandas as pd
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        rings = [np.array([[p["x"], p["y"]] for p in r]) for r in t[ring] if r is not None]
+        return pd.DataFrame({key: [t[key].iloc[0]], "gds": [dump_gds(rings, **how)]})
+
+    return df.groupBy(key).applyInPandas(one, f"{key} {dict(df.dtypes)[key]}, gds binary")
+
+
+def gds_rings(df: DataFrame, key: str, gds: str) -> DataFrame:
+    """key, i, layer, ring (array of structs x, y): the boundaries of streams, numbered from 0."""
+    import pandas as pd
+
+    def rows(batches):
+        for b in batches:
+            out = [(k, i, layer, [{"x": x, "y": y} for x, y in r.tolist()]) for k, g in zip(b[key], b[gds], strict=True) if g is not None for i, (layer, r) in enumerate(load_gds(bytes(g)))]
+            yield pd.DataFrame(out, columns=[key, "i", "layer", "ring"])
+
+    return df.select(key, gds).mapInPandas(rows, f"{key} {dict(df.dtypes)[key]}, i int, layer int, ring array<struct<x:double,y:double>>")

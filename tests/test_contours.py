@@ -32,6 +32,49 @@ def test_border_islands_and_empty():
     assert len(full) == 1 and full[0][1] == []
 
 
+def test_distances_of_masks():
+    rng = np.random.default_rng(3)
+    m = rng.random((13, 9)) < 0.15
+    y, x = np.nonzero(m)
+    gy, gx = np.mgrid[0:13, 0:9]
+    want = np.sqrt(((gy[..., None] - y) ** 2 + (gx[..., None] - x) ** 2).min(axis=-1))
+    np.testing.assert_allclose(C.nearest_set(m), want)
+    d = C.signed_distance(m)
+    assert (d[m] >= 1).all() and (d[~m] <= -1).all()
+    assert np.isinf(C.nearest_set(np.zeros((3, 2), bool))).all()
+
+
+def test_smoothing():
+    flat = np.full((5, 7), 2.5)
+    np.testing.assert_allclose(C.smoothed(flat, 0.6), flat)
+    spike = np.zeros((21, 21))
+    spike[10, 10] = 1.0
+    out = C.smoothed(spike, 1.0)
+    assert math.isclose(out.sum(), 1.0) and math.isclose(out[10, 11] / out[10, 10], math.exp(-0.5)) and np.allclose(out, out.T)
+    with pytest.raises(ValueError):
+        C.smoothed(flat, 0.0)
+
+
+def test_polygons_of_masks():
+    y, x = np.mgrid[0:60, 0:60]
+    d = np.hypot(x - 30, y - 30)
+    m = (d < 22) & (d > 9)
+    for sigma in (None, 0.6):
+        ((outer, (hole,)),) = C.mask_polygons(m, sigma=sigma)
+        assert abs(abs(C.ring_area(outer)) / (math.pi * 22**2) - 1) < 0.05 and abs(abs(C.ring_area(hole)) / (math.pi * 9**2) - 1) < 0.1
+    assert C.mask_polygons(np.zeros((4, 4))) == [] and len(C.mask_polygons(np.ones((4, 4)))) == 1
+
+
+def test_tables_of_masks_and_layouts(spark):
+    df = spark.createDataFrame([(1, [[True, True], [True, False]]), (2, None), (3, []), (4, [[False, False]])], "id int, mask array<array<boolean>>")
+    got = C.mask_outlines(df, "id", "mask", distance=False, tolerance=0.0).collect()
+    assert [(r.id, r.part, r.hole) for r in got] == [(1, 0, False)]
+    assert C.mask_outlines(df.limit(0), "id", "mask").count() == 0
+    rings = spark.createDataFrame([("a", [(0.0, 0.0), (1.0, 0.0), (1.0, 2.0)]), ("a", None), ("b", None)], "k string, ring array<struct<x:double,y:double>>")
+    back = C.gds_rings(C.gds_streams(rings, "k", "ring", layer=5), "k", "gds").collect()
+    assert [(r.k, r.i, r.layer, [tuple(p) for p in r.ring]) for r in back] == [("a", 0, 5, [(0.0, 0.0), (1.0, 0.0), (1.0, 2.0)])]
+
+
 def test_gds_round_trip():
     rings = [np.array([[0.0, 0.0], [1.5, 0.25], [1.0, 2.0]]), np.array([[-3.0, -1.0], [-2.0, -1.0], [-2.0, 1.125], [-3.0, 1.0]])]
     data = C.dump_gds(rings, layer=7)

@@ -5,6 +5,7 @@ import pytest
 
 from periodica.operators import analysis, generate, polygons, shapes
 from periodica.plans import oracles, queries
+from periodica.sources import contours
 
 SF = "/root/testdata/sf0.01"
 
@@ -20,7 +21,7 @@ def both(spark, name):
     return [sorted(map(repr, f[cols].astype(object).where(f[cols].notna(), None).itertuples(index=False, name=None))) for f in (a, b)]
 
 
-@pytest.mark.parametrize("name", ["cell_polygon_area", "round_corners_area", "poly_distance", "poly_boolean_area", "min_gap", "dup_groups", "validate_shapes"])
+@pytest.mark.parametrize("name", ["cell_polygon_area", "round_corners_area", "poly_distance", "poly_boolean_area", "min_gap", "dup_groups", "validate_shapes", "tf_feature_size", "cell_polygon_area_hex", "remove_holes_area", "contour_area", "gds_roundtrip"])
 def test_every_part(spark, name):
     got, want = both(spark, name)
     assert len(got) >= 500 and got == want
@@ -31,6 +32,11 @@ def test_union_of_every_supplier(spark):
     assert len(got) == spark.read.parquet(f"{SF}/events.parquet").count() and got == want
 
 
+def test_hooks_of_generators(spark):
+    got, want = both(spark, "generate_hooks")
+    assert len(got) == 72 and got == want
+
+
 class Called(Exception):
     pass
 
@@ -40,7 +46,7 @@ class Called(Exception):
     [
         ("poly_distance", polygons, "ring_distance_rows"), ("poly_boolean_area", polygons, "area_rows"), ("poly_centroid", polygons, "centroid_column"), ("leaf_count", shapes, "leaves"), ("leaf_metrics", analysis, "rows_metrics"),
         ("min_gap", analysis, "rows_metrics"), ("cell_metrics", analysis, "rows_metrics"), ("constraint_check", analysis, "rows_metrics"), ("validate_cells", analysis, "rows_metrics"), ("generator_lattice", generate, "resized"),
-        ("dup_pairs", queries, "raster_prints"), ("dup_groups", queries, "raster_prints"), ("csg_union_many", queries, "union_distances"),
+        ("dup_pairs", queries, "raster_prints"), ("remove_holes_area", polygons, "compose"), ("contour_area", contours, "mask_polygons"), ("cell_polygon_area_hex", polygons, "cell_rows"), ("dup_groups", queries, "raster_prints"), ("csg_union_many", queries, "union_distances"),
     ],
 )
 def test_queries_run_their_operator(spark, sf_dir, monkeypatch, name, module, operator):
