@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from periodica.stages import drop_stage, new_dir, write_stage
 
-__all__ = ["ascii_lower", "crc_fold", "drop_stage", "likely_in", "new_dir", "release_memory", "table", "text_batches", "tidy", "write_stage"]
+__all__ = ["ascii_lower", "crc_fold", "drop_stage", "likely_in", "new_dir", "release_memory", "table", "text_batches", "tidy", "trim_memory", "write_stage"]
 
 #: Characters between words, as the contracts fix them: space and U+0009 to U+000D.
 SPACE = "\\x20\\x09-\\x0D"
@@ -72,6 +72,11 @@ def release_memory() -> None:
     if (tokens := sys.modules.get("periodica.llm.tokens")) is not None:
         tokens.forget_encoders()
     gc.collect()
+    trim_memory()
+
+
+def trim_memory() -> None:
+    """Gives what a Python worker has freed back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from periodica.llm.common import new_dir, text_batches, write_stage
+from periodica.llm.common import new_dir, text_batches, trim_memory, write_stage
 from periodica.llm.shared_files import new_file, open_file
-from periodica.llm.tokens import encoder_for
+from periodica.llm.tokens import encoder_for, forget_encoders
 
 MAGIC, VERSION = b"PTOK", 1
 HEAD = "<4sHH32s"
@@ -132,6 +132,8 @@ def _write(tokenizer: str, folder: str, dictionary: bytes, width: int, end_id: i
                 part = next(parts, None)
             out.write(np.array(index, INDEX).tobytes())
             out.write(struct.pack(FOOT, at, len(index), MAGIC))
+        del part, parts, flat, texts, ids, n
+        trim_memory()  # workers live on, and an executor may have more of them than tasks
         yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), pa.array([name]), pa.array([len(index)], pa.int64()), pa.array([total], pa.int64())], names=["slot", "name", "docs", "ids"])
 
     return run
@@ -139,6 +141,8 @@ def _write(tokenizer: str, folder: str, dictionary: bytes, width: int, end_id: i
 
 def _read(folder: str, dictionary: bytes, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()  # all is written by now
+        trim_memory()
         codec = Codec(dictionary, width)
         for b in batches:
             for name, before in zip(b.column("name").to_pylist(), b.column("before").to_pylist(), strict=True):

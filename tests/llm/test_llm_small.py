@@ -146,6 +146,20 @@ def test_encoder_equals_library(docs, name, pieces):
         assert [flat[e - k : e].tolist() for e, k in zip(ends, n, strict=True)] == want
 
 
+def test_byte_encoder_keeps_words_that_recur_and_each_once():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, tok = Encoder(path, byte_level_pieces, most=400), Tokenizer.from_file(path)
+    for k in range(12):  # " again" comes up late, but in each text from then on
+        text = "q" + "".join(f" w{chr(97 + k)}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150)) + " again" * (k >= 2)
+        flat, n = enc.encode([text])
+        assert flat.tolist() == tok.encode(text, add_special_tokens=False).ids and n.tolist() == [len(flat)]
+        assert (" again" in enc.known) == (k >= 2) and len(enc.known) <= 400 + 152
+    assert not enc.tokens  # words that are pieces aren't remembered a second time
+    assert list(enc.known.values()) == list(range(len(enc.known)))
+    enc._forget()
+    assert " again" in enc.known and "q" in enc.known and len(enc.known) == 2
+
+
 def test_bpe_round_trip(docs):
     df, texts = docs
     path = public_tokenizers.path("byte_bpe_50k.json")
