@@ -78,3 +78,25 @@ def test_queries_run_their_operator(spark, sf_dir, monkeypatch, name, module, op
     assert issubclass(cls, DataFrame)
     with pytest.raises(Called):
         queries.queries()[name](spark, sf_dir).collect()
+
+
+def test_figures_within_others_take_no_part(spark):
+    """Nested figures of a few places: only the outermost meet points, and distances equal those over all."""
+    import numpy as np
+
+    from periodica.ir import col, evaluate
+    from periodica.operators import nearest
+    from periodica.operators import shapes as S
+
+    rng = np.random.default_rng(5)
+    figs = [(float(i % 3), float(i % 2), float(w), float(h)) for i, (w, h) in enumerate(rng.uniform(0.1, 9, (600, 2)))]
+    figures = spark.createDataFrame([*figs, (None, 0.0, 1.0, 1.0)], "cx double, cy double, w double, h double")
+    shape = S.Rectangle((0.0, 0.0), (col("w"), col("h"))).translate(col("cx"), col("cy"))
+    kept = nearest.outermost(figures.where("cx IS NOT NULL"), shape).collect()
+    held = {f for f in figs if not any(g != f and g[:2] == f[:2] and g[2] >= f[2] and g[3] >= f[3] for g in figs)}
+    assert {tuple(r) for r in kept} == held and len(kept) == len(held) < 100
+    assert nearest.outermost(figures, S.Egg((col("cx"), col("cy")), col("w"), col("h"))) is figures
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-12, 12, (80, 2)))]
+    got = {r.pt: r.sdf for r in nearest.union_distances(spark.createDataFrame(pts, "pt long, x double, y double"), figures, shape).collect()}
+    env = dict(zip(("cx", "cy", "w", "h"), np.array(figs).T, strict=True))
+    assert all(abs(got[i] - evaluate([shape.sdf(x, y)], env)[0].min()) < 1e-12 for i, x, y in pts)
