@@ -258,3 +258,15 @@ def test_cell_files(spark, tmp_path):
     assert json.loads(back.first().cell) == cell.to_parametric()
     back.write.format("cells_yaml").mode("append").save(str(tmp_path / "out"))
     assert spark.read.format("cells_yaml").load(str(tmp_path / "out")).count() == 1
+
+
+def test_printed_figures_round_as_c_does(spark):
+    """Ties of the exact binary value go to the even digit, and what only looks like a tie in decimals is none."""
+    values = [0.0625, 0.1875, 1.0005, 2.0005, 0.00015, 0.99995, 0.0, 12.34565, 1e16, -0.0625]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (3, 4):
+        got = [r.t for r in df.select(A.F.format_string(f"%.{digits}f", A.printable(A.F.col("v"), digits)).alias("t")).collect()]
+        assert got == [f"%.{digits}f" % v for v in values]
+    m = spark.createDataFrame([(1, 0.0625, 1, 0.5, 0.5, [(0.00015, 1.0)])], "cell_id int, fill_fraction double, num_shapes int, min_feature_size double, min_gap double, shape_bbox_sizes array<struct<w:double,h:double>>")
+    r = A.check(m, A.Constraints(min_fill=0.08, min_shape_size=0.7)).first()
+    assert r.failures == ["fill_fraction 0.062 < min_fill 0.08", "shape 0 size (%.4f, 1.0000) < min_shape_size 0.7" % 0.00015] and r.failure == r.failures[0]
