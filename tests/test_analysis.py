@@ -270,3 +270,37 @@ def test_printed_figures_round_as_c_does(spark):
     m = spark.createDataFrame([(1, 0.0625, 1, 0.5, 0.5, [(0.00015, 1.0)])], "cell_id int, fill_fraction double, num_shapes int, min_feature_size double, min_gap double, shape_bbox_sizes array<struct<w:double,h:double>>")
     r = A.check(m, A.Constraints(min_fill=0.08, min_shape_size=0.7)).first()
     assert r.failures == ["fill_fraction 0.062 < min_fill 0.08", "shape 0 size (%.4f, 1.0000) < min_shape_size 0.7" % 0.00015] and r.failure == r.failures[0]
+
+
+def test_ring_columns_of_odd_rings(spark):
+    """Measures of rings of many lengths equal those of single rings; nulls within a ring or point, empty and flat rings have a defined result."""
+    rng = np.random.default_rng(4)
+    rings = [rng.uniform(-1, 1, (int(k), 2)) for k in rng.integers(3, 9, 50)]
+    rows = [(i, [tuple(p) for p in r.tolist()], 0.1, -0.2) for i, r in enumerate(rings)]
+    odd = [(50, None, 0.0, 0.0), (51, [], 0.0, 0.0), (52, [(0.0, 0.0), (1.0, 0.0), None], 0.0, 0.0), (53, [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)], 0.5, 0.0), (54, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)], None, 0.0), (55, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)], 1.0, 0.5)]
+    df = spark.createDataFrame(rows + odd, "i int, ring array<struct<x:double,y:double>>, x double, y double").repartition(3)
+    F = A.F
+    c = F.col("ring")
+    got = {r.i: r for r in df.select("i", P.area_column(c).alias("a"), P.centroid_column(c).alias("c"), P.contains_column(c, F.col("x"), F.col("y")).alias("n"), P.covers_column(c, F.col("x"), F.col("y")).alias("v")).collect()}
+    for i, r in enumerate(rings):
+        n = np.roll(r, -1, axis=0)
+        cross = r[:, 0] * n[:, 1] - n[:, 0] * r[:, 1]
+        assert math.isclose(got[i].a, abs(P.ring_area(r)), abs_tol=1e-12) and got[i].n == got[i].v == bool(P.inside_rows(r[None], np.array([[[0.1, -0.2]]]))[0, 0])
+        np.testing.assert_allclose(tuple(got[i].c), ((r + n) * cross[:, None]).sum(axis=0) / (3 * cross.sum()), rtol=1e-9)
+    assert [(got[i].a, tuple(got[i].c), got[i].n, got[i].v) for i in range(50, 56)] == [(None, (None, None), None, None), (0.0, (None, None), False, False), (None, (None, None), None, None), (0.0, (None, None), False, True), (0.5, (2 / 3, 1 / 3), False, None), (0.5, (2 / 3, 1 / 3), False, True)]
+
+
+def test_outline_areas_measure_equal_rows_once(spark, monkeypatch):
+    from periodica.ir import col
+
+    seen = []
+    real = P.ring_rows
+    monkeypatch.setattr(P, "ring_rows", lambda s, env, n: seen.append(n) or real(s, env, n))
+    figures = {"star": S.Star((0.1, 0.2), 5, col("a"), 0.45, 0.0, 0.02, 0.03), "egg": S.Egg((0.0, 0.0), col("a"), 1.5, 0.3)}
+    df = spark.range(3000).selectExpr("id", "1D + id % 7 / 10D AS a")
+    run = lambda self, f, schema: spark.createDataFrame([r for out in f(iter(self.toArrow().combine_chunks().to_batches())) for r in out.to_pylist()], schema)
+    monkeypatch.setattr(type(df), "mapInArrow", run)
+    got = {(r.id, r.shape): r.area for r in P.outline_areas(df, figures, "id").collect()}
+    assert sum(seen) == 14 and len(got) == 6000
+    for (i, name), area in list(got.items())[::97]:
+        assert math.isclose(area, abs(P.ring_area(real(figures[name], {"a": np.array([1 + i % 7 / 10])}, 1)[0])), rel_tol=1e-12)
