@@ -304,3 +304,41 @@ def test_outline_areas_measure_equal_rows_once(spark, monkeypatch):
     assert sum(seen) == 14 and len(got) == 6000
     for (i, name), area in list(got.items())[::97]:
         assert math.isclose(area, abs(P.ring_area(real(figures[name], {"a": np.array([1 + i % 7 / 10])}, 1)[0])), rel_tol=1e-12)
+
+
+def test_scenes_are_put_together_in_batches(spark):
+    """No frame for each cell, and nodes in any order, repeated parents and missing ones as before."""
+    rows = [(c, n, p, t, q) for c in range(300) for n, p, t, q in ((3, 2, "Rectangle", '{"center": [0, 1], "size": [1, 1]}'), (2, None, "Translate", '{"dx": 1.0, "dy": 0.0}'), (9, 77, "Bar", '{"width": 0.2}'))]
+    cells = A.cells_from_nodes(spark.createDataFrame(rows, "cell_id long, node_id int, parent_id int, type string, params string").repartition(4), Lattice.rectangular(5, 5))
+    plan = cells._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "ArrowEvalPython" in plan
+    want = (S.Rectangle((0, 1), (1, 1)).translate(1.0, 0.0) | S.Bar(0.0, 0.2)).to_parametric()
+    got = cells.collect()
+    assert len(got) == 300 and all(UnitCell.from_parametric(json.loads(r.cell)).scene.to_parametric() == want for r in got)
+
+
+def test_prints_are_made_twice_at_most(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(i, [i // 4 / 1000.0, 0.5]) for i in range(80)], "cell_id long, fp array<float>").mapInArrow(rows, "cell_id long, fp array<float>")
+    pairs = A.duplicate_pairs(df, 1.5e-3)
+    assert len(pairs.collect()) == 60 + 19 and made.value == 160
+    assert A.duplicate_groups(df, 1.5e-3).count() == 80 and made.value == 320
+
+
+def test_equal_cells_share_a_raster(spark, monkeypatch):
+    from periodica.ir import col
+    from periodica.operators import lattice as L
+
+    seen, real = [], L.CopyRows.rasters
+    monkeypatch.setattr(L.CopyRows, "rasters", lambda self, cell, env, rows, n, make: seen.append(rows) or real(self, cell, env, rows, n, make))
+    df = spark.range(500).selectExpr("id AS cell_id", "0.5D + id % 5 / 10D AS w")
+    run = lambda self, f, schema: [r for out in f(iter([b for b in self.toArrow().to_batches(100)])) for r in out.to_pylist()]
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: spark.createDataFrame(run(self, f, schema), schema))
+    got = L.raster_prints(df, UnitCell(Lattice.rectangular(3, 2), S.Rectangle((1.5, 1.0), (col("w"), 0.5))), 8).collect()
+    assert sum(seen) == 5 and len(got) == 500 and len({(r.cell_id % 5, tuple(r.fp)) for r in got}) == 5
