@@ -90,3 +90,17 @@ def test_gds_round_trip():
         C.load_gds(data[:-4])
     with pytest.raises(ValueError):
         C.dump_gds([np.zeros((2, 2))])
+
+
+def test_masks_that_recur_are_outlined_once(spark, monkeypatch):
+    """A task remembers outlines, also where there are more kinds of masks than it keeps; rows are dealt over tasks."""
+    monkeypatch.setattr(C, "MOST_KNOWN", 5)
+    seen, real = [], C.mask_polygons
+    monkeypatch.setattr(C, "mask_polygons", lambda m, *how: seen.append(m.shape) or real(m, *how))
+    df = spark.range(60).selectExpr("id", "transform(sequence(0, 3 + CAST(id % 2 AS INT)), y -> transform(sequence(0, 4), x -> x >= 1 AND x <= 1 + (id DIV 20) AND y = 1)) AS mask").coalesce(1)
+    assert C.mask_outlines(df, "id", "mask").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    taken = []
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, f, schema: taken.append([(r.id, r.part, r.hole, len(r.ring)) for out in f(iter([self.orderBy("id").toPandas()])) for r in out.itertuples()]) or self)
+    C.mask_outlines(df, "id", "mask", distance=False, tolerance=0.0)
+    assert [t[0] for t in taken[0]] == list(range(60)) and 6 <= len(seen) <= 8
+    assert [t[3] for t in taken[0]] == [(4, 6, 6)[i // 20] for i in range(60)]
