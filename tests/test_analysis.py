@@ -342,3 +342,53 @@ def test_equal_cells_share_a_raster(spark, monkeypatch):
     monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: spark.createDataFrame(run(self, f, schema), schema))
     got = L.raster_prints(df, UnitCell(Lattice.rectangular(3, 2), S.Rectangle((1.5, 1.0), (col("w"), 0.5))), 8).collect()
     assert sum(seen) == 5 and len(got) == 500 and len({(r.cell_id % 5, tuple(r.fp)) for r in got}) == 5
+
+
+def test_cell_areas_take_copies_that_reach_the_cell(spark, monkeypatch):
+    """Areas equal those over all copies, and far figures, wide ones, stripes and differences take only copies that meet the cell."""
+    from periodica.ir import col
+
+    rng = np.random.default_rng(6)
+    rows = [(i, float(x), float(y), float(w), float(t)) for i, (x, y, w, t) in enumerate(zip(*rng.uniform(-20, 20, (2, 30)), rng.uniform(0.2, 7, 30), rng.uniform(0, 360, 30), strict=True))]
+    df = spark.createDataFrame(rows, "id int, x double, y double, w double, t double")
+    box = S.Rectangle((col("x"), col("y")), (col("w"), 0.7), col("t"))
+    spans, real = [], P.cell_rows
+    monkeypatch.setattr(P, "cell_rows", lambda cell, env, n, span: spans.append((n, (span[1] - span[0] + 1) * (span[3] - span[2] + 1))) or real(cell, env, n, span))
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: spark.createDataFrame([r for out in f(iter(self.toArrow().combine_chunks().to_batches())) for r in out.to_pylist()], schema))
+    for lat in (Lattice.hexagonal(3.0), Lattice.rectangular(2.0, 5.0), Lattice((-2.0, 0.3), (0.5, 3.0))):
+        for scene in (box, box - S.Ellipse((col("x"), col("y")), (0.5, 0.4)), box | S.Bar(0.2, 0.4, "x")):
+            if isinstance(scene, S.Union) and lat.a1[1] is not S.lift(0.0):
+                continue
+            got = {r.id: r.area for r in P.cell_areas(df, UnitCell(lat, scene), "id").collect()}
+            for i, x, y, w, t in rows[::6]:
+                own = S.Rectangle((x, y), (w, 0.7), t)
+                whole = own if scene is box else own - S.Ellipse((x, y), (0.5, 0.4)) if isinstance(scene, S.Difference) else own | S.Bar(0.2, 0.4, "x")
+                assert math.isclose(got[i], P.cell_region(UnitCell(lat, whole)).area(), abs_tol=1e-8)
+    spans.clear()
+    P.cell_areas(df.selectExpr("id", "x", "y", "0.5D AS w", "t"), UnitCell(Lattice.hexagonal(6.0), box), "id").collect()
+    assert sum(n for n, _ in spans) == 30 and all(k <= 4 for _, k in spans)
+
+
+def test_largest_parts_of_nested_rings_are_measured_together(spark, monkeypatch):
+    """Rings apart from each other are measured by kind, others composed one by one; all equal the regions' areas."""
+    from periodica.ir import col
+
+    rng = np.random.default_rng(8)
+    rows = [(i, float(x), float(w), float(t)) for i, (x, w, t) in enumerate(zip(rng.uniform(-2.5, 2.5, 60), rng.uniform(0.2, 2.5, 60), rng.uniform(0, 360, 60), strict=True))]
+    df = spark.createDataFrame(rows, "id int, x double, w double, t double")
+    calls, real = [], P.compose
+    monkeypatch.setattr(P, "compose", lambda rings, inside: calls.append(1) or real(rings, inside))
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: spark.createDataFrame([r for out in f(iter(self.toArrow().combine_chunks().to_batches())) for r in out.to_pylist()], schema))
+    x, w, t = map(col, "xwt")
+    hole, far = S.Rectangle((x, 0.1), (w, 0.3), t), S.Rectangle((20.0, 0.0), (1.5, 1.6))
+    scenes = [(S.Rectangle((0, 0), (2.0, 2.0)) - hole) | far, ((S.Rectangle((0, 0), (9.0, 9.0)) - S.Rectangle((0, 0), (6.0, 6.0))) | S.Ellipse((x, 0), (w, 0.5), t)) - S.Rectangle((0, 0), (0.1, 0.1)), S.Star((x, 0.0), 5, 1.0, 0.4) - hole, S.Rectangle((0, 0), (1, 1)) & far, hole & S.Rectangle((0, 0), (2.0, 2.0))]
+    for scene in scenes:
+        rings: list = []
+        env = {k: np.array([r[j] for r in rows]) for j, k in ((1, "x"), (2, "w"), (3, "t"))}
+        inside = P.scene_rows(scene, env, len(rows), rings)
+        regions = [real([r[k if len(r) > 1 else 0] for r in rings], inside) for k in range(len(rows))]
+        got = {r.id: r.area for r in P.largest_part_areas(df, scene, "id").collect()}
+        np.testing.assert_allclose([got[i] for i in range(60)], [0.0 if g.is_empty() else g.largest_without_holes().area() for g in regions], atol=1e-9)
+    calls.clear()
+    P.largest_part_areas(df.selectExpr("id", "0.1D AS x", "0.4D AS w", "t"), scenes[0], "id").collect()
+    assert len(calls) == 1
